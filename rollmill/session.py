@@ -47,3 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over enough partitions for heavy work per row.
+
+    Input of few splits (small tables, files of one row group) is repartitioned; input that
+    already has more splits than the cluster has cores, as any large one, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
