@@ -111,6 +111,8 @@ def assignment(a: str, b: str) -> int | None:
     x, y = a.split(), b.split()
     if a.replace(" ", "") == b.replace(" ", ""):
         return 0
+    if [c for c in a if c.isdigit()] != [c for c in b if c.isdigit()]:
+        return None  # a road's number is part of its name, never a slip
     if len(x) != len(y):
         return 1 if near(a.replace(" ", ""), b.replace(" ", "")) else None
 
