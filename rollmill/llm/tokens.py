@@ -5,9 +5,12 @@ a corpus needs as many encodings as it has distinct words.  Words are exploded w
 positions by the JVM, each distinct word is encoded once on a worker, and the ids join back
 and are put together by position.
 
-Skew.  A frequent word may make up a third of all words.  Words that hold more than a
-thousandth of all occurrences, at most a thousand of them whatever the corpus, are joined by
-broadcast; no other word has more than a thousandth, so the shuffled join has no hot key.
+Skew.  A frequent word may make up a third of all words.  Words that hold more than one in
+``COMMON`` of all occurrences are joined by broadcast: at most ``COMMON`` of them whatever the
+corpus, and together no more than ``COMMON`` times the mean length of a word.  No other word has
+more than one in ``COMMON``, so the shuffled join has no hot key and few rows.  Joined by
+broadcast, the words of a text stay in its task and are gathered there before anything is
+shuffled; a word of one token travels as one number, its position and its id.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ _SPACE = r"\t-\r \u0085   -     　"
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 #: A word is broadcast if it holds more than one in so many occurrences.
-COMMON = 1000
+COMMON = 20_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -96,9 +99,13 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     path = path or vocabulary_path()
     words = _words(docs, id_col, text_col)
-    parts = _joined(words, path, F.col("ids")).groupBy("id", "h")
+    single = F.size("value") == 1
+    code = F.shiftleft(F.col("pos").cast("bigint"), 24).bitwiseOR(F.get("value", F.lit(0)).cast("bigint"))
+    parts = _joined(words, path, F.col("ids")).select("id", "h", "pos", F.when(single, code).alias("one"), F.when(~single, F.struct("pos", "value")).alias("many")).groupBy("id", "h")
+    gathered = parts.agg(F.collect_list("one").alias("one"), F.collect_list("many").alias("many"), F.count_if(F.col("pos") == 0).cast("int").alias("m"))
+    opened = F.transform("one", lambda c: F.struct(F.shiftright(c, 24).cast("int").alias("pos"), F.array(c.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")).alias("value")))
+    listed = gathered.select("id", "m", F.array_sort(F.concat(opened, "many")).alias("l"))
     # A text given m times has every position m times.
-    listed = parts.agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("l"), F.count_if(F.col("pos") == 0).cast("int").alias("m"))
     once = F.filter("l", lambda _, i: i % F.col("m") == 0)
     full = listed.select("id", F.flatten(F.transform(once, lambda x: x["value"])).alias("ids"))
     text = F.col(tick(text_col))
