@@ -32,23 +32,22 @@ SAMPLES, EPOCHS, BATCH = 7000, 5, 64
 
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
-TOKEN = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])[^\W\d_])+|\d+|\S")
+#: A token with the white space before it: a CJK sign, a run of letters, a run of digits, or a sign.
+PIECE = re.compile(rf"\s*(?:[{_CJK}]|(?:(?![{_CJK}])[^\W\d_])+|\d+|\S)")
 
 
-def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Keys, starts and ends of the tokens.  A key is the token, behind a blank if white space
-    stands before it; digits are all 0, as only their number is looked at."""
-    keys, starts, ends = [], [], []
-    last = -1
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        if t[0].isdigit():
-            t = "0" * min(len(t), 14)
-        keys.append(t if m.start() == last else " " + t)
-        starts.append(m.start())
-        last = m.end()
-        ends.append(last)
-    return keys, starts, ends
+def key_of(piece: str) -> str:
+    """What the model sees of a piece: its token, behind a blank if white space stands before it;
+    digits are all 0, as only their number is looked at."""
+    token = piece.lstrip()
+    text = "0" * min(len(token), 14) if token[0].isdigit() else token
+    return text if len(token) == len(piece) else " " + text
+
+
+def bounds(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of a text's pieces."""
+    ends = np.cumsum([len(p) for p in pieces])
+    return ends - [len(p.lstrip()) for p in pieces], ends
 
 
 def _shape(token: str) -> str:
@@ -118,7 +117,8 @@ _NEVER = np.float32(-1e4)
 
 
 def tags(text: str, spans: Sequence[tuple[int, int, str]]) -> tuple[list[str], list[int]]:
-    keys, starts, ends = tokens(text)
+    pieces = PIECE.findall(text)
+    keys, (starts, ends) = [" " + key_of(p).lstrip() if i == 0 else key_of(p) for i, p in enumerate(pieces)], bounds(pieces)
     out = [0] * len(keys)
     for a, b, kind in spans:
         first = True
@@ -223,42 +223,76 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def decode(model: Crf, sequences: Sequence[np.ndarray], tables: np.ndarray, room: int = 150_000) -> list[np.ndarray]:
+class Scorer:
+    """Scores of distinct pieces, kept from batch to batch up to a bounded number."""
+
+    def __init__(self, model: Crf, room: int = 100_000) -> None:
+        self.model, self.room = model, room
+        self.reset()
+
+    def reset(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.keys: dict[str, int] = {}
+        self.tables = self.model.tables([])
+
+    def numbers(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        """Key numbers of each text's pieces; the tables hold a row for each afterwards."""
+        if len(self.pieces) > self.room:
+            self.reset()
+        known, out, new = self.pieces, [], []
+        for pieces in texts:
+            try:
+                out.append(np.array([known[p] for p in pieces], dtype=np.int32))
+            except KeyError:
+                for p in pieces:
+                    if p not in known:
+                        key = key_of(p)
+                        if key not in self.keys:
+                            self.keys[key] = len(self.keys)
+                            new.append(key)
+                        known[p] = self.keys[key]
+                out.append(np.array([known[p] for p in pieces], dtype=np.int32))
+        if new:
+            self.tables = np.concatenate([self.tables[:, :-1], self.model.tables(new)], axis=1)
+        return out
+
+
+def decode(model: Crf, sequences: Sequence[np.ndarray], tables: np.ndarray, room: int = 100_000) -> list[np.ndarray]:
     """Best labels of each sequence of key numbers; sequences of like length go together."""
     out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(sequences)
-    order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-    none = tables.shape[1] - 1
+    order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
+    none, pad = tables.shape[1] - 1, max(map(abs, OFFSETS))
     at = 0
     while at < len(order):
         stop = at + 1
-        while stop < len(order) and (stop + 1 - at) * max(len(sequences[order[stop]]), 1) <= room:
+        while stop < len(order) and (stop + 1 - at) * len(sequences[order[stop]]) <= room:
             stop += 1
-        group = [i for i in order[at:stop] if len(sequences[i])]
+        group = order[at:stop]
         at = stop
-        if not group:
-            continue
-        longest, pad = max(len(sequences[i]) for i in group), max(map(abs, OFFSETS))
-        ids = np.full((len(group), longest + 2 * pad), none, dtype=np.int32)
         lengths = np.array([len(sequences[i]) for i in group])
+        longest, every = int(lengths.max()), np.arange(len(group))
+        ids = np.full((longest + 2 * pad, len(group)), none, dtype=np.int32)
         for r, i in enumerate(group):
-            ids[r, pad : pad + len(sequences[i])] = sequences[i]
+            ids[pad : pad + len(sequences[i]), r] = sequences[i]
+        emit = tables[0][ids[:longest]]
+        for o, offset in enumerate(OFFSETS[1:], 1):
+            emit += tables[o][ids[pad + offset : pad + offset + longest]]
         back = np.zeros((longest, len(group), len(LABELS)), dtype=np.int8)
-        score = None
-        for t in range(longest):
-            emit = sum(tables[o, ids[:, t + pad + offset]] for o, offset in enumerate(OFFSETS))
-            if score is None:
-                score = model.start + emit
-                continue
-            paths = score[:, :, None] + model.transitions[None]
-            back[t] = paths.argmax(1)
-            score = np.where((t < lengths)[:, None], paths.max(1) + emit, score)
-        last = score.argmax(1)
+        into = np.ascontiguousarray(model.transitions.T)[None]
+        score = model.start + emit[0]
+        for t in range(1, longest):
+            paths = score[:, None, :] + into
+            back[t] = paths.argmax(2)
+            nxt = paths.max(2) + emit[t]
+            score = np.where((t < lengths)[:, None], nxt, score) if t >= lengths[0] else nxt
+        path = np.empty((longest, len(group)), dtype=np.int8)
+        now = score.argmax(1)
+        for t in range(longest - 1, -1, -1):
+            path[t] = now
+            if t:
+                now = np.where(t < lengths, back[t, every, now], now)
         for r, i in enumerate(group):
-            path = np.empty(lengths[r], dtype=np.int8)
-            path[-1] = last[r]
-            for t in range(lengths[r] - 1, 0, -1):
-                path[t - 1] = back[t, r, path[t]]
-            out[i] = path
+            out[i] = path[: lengths[r], r]
     return out
 
 
@@ -295,23 +329,26 @@ def _refine(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     return (start, end) if fine else None
 
 
-def mentions(model: Crf, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]:
+def mentions(model: Crf | Scorer, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of each mention of each text, in code points from 0."""
-    cut = [tokens(t or "") for t in texts]
-    numbers: dict[str, int] = {}
-    sequences = [np.array([numbers.setdefault(k, len(numbers)) for k in keys], dtype=np.int32) for keys, _, _ in cut]
-    tables = model.tables(list(numbers))
+    scorer = model if isinstance(model, Scorer) else Scorer(model)
+    cut = [PIECE.findall(" " + t) if t else [] for t in texts]  # a text begins as after a blank
+    sequences = scorer.numbers(cut)
     out = []
-    for text, (_, starts, ends), path in zip(texts, cut, decode(model, sequences, tables), strict=True):
-        found, open_at = [], None
-        for i, label in enumerate([*path, 0]):
-            if open_at is not None and (label == 0 or label % 2 == 1):
-                spot = _refine(text, starts[open_at], ends[i - 1], KIND_NAMES[(path[open_at] - 1) // 2])
-                if spot:
-                    found.append((*spot, KIND_NAMES[(path[open_at] - 1) // 2]))
-                open_at = None
-            if label % 2 == 1:
-                open_at = i
+    for text, pieces, path in zip(texts, cut, decode(scorer.model, sequences, scorer.tables), strict=True):
+        found: list[tuple[int, int, str]] = []
+        if path.any():
+            starts, ends = bounds(pieces)
+            open_at = None
+            for i, label in enumerate([*path.tolist(), 0]):
+                if open_at is not None and (label == 0 or label % 2 == 1):
+                    kind = KIND_NAMES[(int(path[open_at]) - 1) // 2]
+                    spot = _refine(text, int(starts[open_at]) - 1, int(ends[i - 1]) - 1, kind)
+                    if spot:
+                        found.append((*spot, kind))
+                    open_at = None
+                if label % 2 == 1:
+                    open_at = i
         out.append(found)
     return out
 
@@ -326,7 +363,7 @@ def redact(text: str, found: Sequence[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None, rows: int = 1_000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None, rows: int = 4_000) -> DataFrame:
     """One row per document: id, ``found`` (kind, start_at from 1, length) and ``redacted``.
 
     NULL texts come out with NULL and no mentions, empty texts empty.  Repeated rows come out as
@@ -336,11 +373,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.iloc[at : at + rows]
                 texts = [t if isinstance(t, str) else "" for t in part["t"]]
-                found = mentions(shared.value, texts)
+                found = mentions(scorer, texts)
                 yield pd.DataFrame(
                     {
                         "id": part["id"].to_numpy(),
