@@ -343,9 +343,12 @@ def mentions(model: Crf | Scorer, texts: Sequence[str]) -> list[list[tuple[int,
             for i, label in enumerate([*path.tolist(), 0]):
                 if open_at is not None and (label == 0 or label % 2 == 1):
                     kind = KIND_NAMES[(int(path[open_at]) - 1) // 2]
-                    spot = _refine(text, int(starts[open_at]) - 1, int(ends[i - 1]) - 1, kind)
-                    if spot:
-                        found.append((*spot, kind))
+                    at = int(starts[open_at]) - 1
+                    for line in text[at : int(ends[i - 1]) - 1].split("\n"):  # no mention runs over a line
+                        spot = _refine(text, at, at + len(line), kind)
+                        if spot:
+                            found.append((*spot, kind))
+                        at += len(line) + 1
                     open_at = None
                 if label % 2 == 1:
                     open_at = i

@@ -102,7 +102,8 @@ class _Filler:
         if self.r.random() < 0.2:
             local = f"{g}.{f}"
             at = self.r.choice((" (at) ", "(at)", " [at] ", "[at]", " @ ", " at "))
-            return f"{g} dot {f} at {name.replace('.', ' dot ')} dot {top}" if at == " at " else f"{local}{at}{name}.{top}"
+            text = f"{g} dot {f} at {name.replace('.', ' dot ')} dot {top}" if at == " at " else f"{local}{at}{name}.{top}"
+            return self.r.choice((text,) * 5 + (text.upper(),))
         text = f"{local}@{name}.{top}"
         return self.r.choice((text,) * 8 + (text.upper(), text.title()))
 
