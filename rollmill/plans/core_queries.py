@@ -19,6 +19,8 @@ from ..operators.match import match
 from ..operators.merge import merge
 from ..operators.shape import constrain, copy_column, map_column_from, shape
 from ..operators.trigram import similarity
+from ..sources.catalog import Driver, copy_text
+from ..sources.delimited import fits_grammar
 from ..spec import MatchSpec, MergeSpec, TableSpec
 from .tables import table
 
@@ -350,13 +352,62 @@ def fn_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sql_passthrough(spark: SparkSession, folder: str) -> DataFrame:
-    from ..sources.catalog import Driver
-
     driver = Driver(spark)
     driver.register("orders_in", table(spark, folder, "orders"))
     return driver.exec_sql("SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS dearest FROM orders_in GROUP BY o_orderpriority")
 
 
+# -- delimited lines and sinks ------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as delimited lines, some with quoted, stray or surplus fields."""
+    part = table(spark, folder, "part")
+    key = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 6
+    line = (
+        F.when(kind == 0, F.concat_ws(",", key, F.concat(F.lit("^"), "p_name", F.lit(", ^^new^^^")), "p_brand"))
+        .when(kind == 1, F.concat_ws(",", key, F.concat("p_name", F.lit("^")), "p_brand"))
+        .when(kind == 2, F.concat_ws(",", key, "p_name", "p_brand", F.lit("")))
+        .when(kind == 3, F.concat_ws(",", key, "p_name"))
+        .otherwise(F.concat_ws(",", key, "p_name", "p_brand"))
+    )
+    return part.select("p_partkey", line.alias("line"))
+
+
+def clean_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of legal quoting with at most three fields, parsed; short ones padded with NULL."""
+    fits = _lines(spark, folder).where(fits_grammar(F.col("line"), ",", "^", 3))
+    parsed = F.from_csv("line", F.lit("a STRING, b STRING, c STRING"), {"sep": ",", "quote": "^", "escape": "^", "nullValue": "\u0001", "mode": "PERMISSIVE"})
+    return fits.select("p_partkey", parsed.alias("r")).select("p_partkey", "r.a", "r.b", "r.c")
+
+
+def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of lines in all and of malformed ones."""
+    bad = ~fits_grammar(F.col("line"), ",", "^", 3)
+    return _lines(spark, folder).agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("malformed"))
+
+
+def scrub_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without the matches of a pattern."""
+    return _lines(spark, folder).select("p_partkey", F.regexp_replace("line", r"\^|#[0-9]+", "").alias("line"))
+
+
+def copy_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Voters in the text COPY form."""
+    picked = ["id", "first_name", "phone", "is_perm_absentee", "updated_at"]
+    return copy_text(table(spark, folder, "voters").select(*picked)).withColumnRenamed("value", "line")
+
+
+def sql_count(spark: SparkSession, folder: str) -> DataFrame:
+    """A count through the SQL passthrough, and one without a row, which is 0."""
+    driver = Driver(spark)
+    driver.register("voters_in", table(spark, folder, "voters"))
+    some = driver.get_count("SELECT count(*) AS count FROM voters_in WHERE party = 'DEM'")
+    none = driver.get_count("SELECT 1 AS count FROM voters_in WHERE false")
+    return spark.sql(f"SELECT CAST({some} AS BIGINT) AS some, CAST({none} AS BIGINT) AS none")
+
+
 def queries() -> Queries:
     named = {
         f.__name__: f
@@ -367,6 +418,7 @@ def queries() -> Queries:
             map_columns, constrain_rows, group_records, copy_schema, map_column_expr, copy_column_multi_key,
             profile_key_uniqueness, profile_coverage, profile_distribution, profile_top_k, profile_total, profile_geocoding,
             geocode_prep, fn_election_name, fn_date_or_null, fn_email_valid, fn_similarity, sql_passthrough,
+            clean_rows, malformed_rows, scrub_rows, copy_sink, sql_count,
         )
     }
     return named | {"copy_column": copy_column_query, "dedup_links": dedup_match}
@@ -399,6 +451,10 @@ _EMAIL_SQL = r"CASE WHEN email IS NULL OR email = '' THEN true ELSE length(email
 _ELECTION = "CASE o_orderkey % 5 WHEN 0 THEN '_primary' WHEN 1 THEN '_general' WHEN 2 THEN '_presidential_primary' WHEN 3 THEN '_special' ELSE '_xx' END"
 
 
+_LINES = """lines AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_partkey || ',^' || p_name || ', ^^new^^^,' || p_brand WHEN 1 THEN p_partkey || ',' || p_name || '^,' || p_brand
+ WHEN 2 THEN p_partkey || ',' || p_name || ',' || p_brand || ',' WHEN 3 THEN p_partkey || ',' || p_name ELSE p_partkey || ',' || p_name || ',' || p_brand END AS line FROM part)"""
+
+
 def _union(parts) -> str:
     return " UNION ALL ".join(parts)
 
@@ -460,5 +516,10 @@ def oracle_sql() -> dict[str, str]:
         "fn_date_or_null": f"SELECT row_id, {_DATE_SQL} AS as_column, {_DATE_SQL} AS as_sql FROM voter_loads",
         "fn_email_valid": f"SELECT id, {_EMAIL_SQL} AS as_column, {_EMAIL_SQL} AS as_sql FROM voters",
         "fn_similarity": f"SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(nullif(len(a) + len(b) - len(list_intersect(a, b)), 0) AS DOUBLE), 9) AS similarity FROM (SELECT p_partkey, {_GRAMS.format('p_name')} a, {_GRAMS.format('p_type')} b FROM part)",
+        "clean_rows": "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS a, CASE WHEN p_partkey % 6 = 0 THEN p_name || ', ^new^' ELSE p_name END AS b, CASE WHEN p_partkey % 6 <> 3 THEN p_brand END AS c FROM part WHERE p_partkey % 6 NOT IN (1, 2)",
+        "malformed_rows": "SELECT count(*) AS total, count(*) FILTER (p_partkey % 6 IN (1, 2)) AS malformed FROM part",
+        "scrub_rows": f"WITH {_LINES} SELECT p_partkey, regexp_replace(line, '\\^|#[0-9]+', '', 'g') AS line FROM lines",
+        "copy_sink": "SELECT id || chr(9) || coalesce(first_name, '\\N') || chr(9) || coalesce(phone, '\\N') || chr(9) || coalesce(CAST(is_perm_absentee AS VARCHAR), '\\N') || chr(9) || strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS line FROM voters",
+        "sql_count": "SELECT count(*) FILTER (party = 'DEM') AS some, CAST(0 AS BIGINT) AS none FROM voters",
         "sql_passthrough": "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS dearest FROM orders GROUP BY o_orderpriority",
     }

@@ -71,14 +71,11 @@ class DelimitedFile:
         """The header's names, verbatim but for their quotes."""
         return split_record(self.header_line(), self.delimiter, self.quote) or self.header_line().split(self.delimiter)
 
-    def grammar(self) -> str:
-        return record_grammar(self.delimiter, self.quote, len(self.headers))
-
     def split(self) -> tuple[DataFrame, DataFrame]:
         """The lines below the header that fit the grammar, and those that don't (``value``)."""
         head = self.header_line()
         body = self._lines().where((F.col("value") != "") & (F.col("value") != head))
-        fits = F.col("value").rlike(self.grammar())
+        fits = fits_grammar(F.col("value"), self.delimiter, self.quote, len(self.headers))
         return body.where(fits), body.where(~fits)
 
     def rejected(self) -> DataFrame:
@@ -142,6 +139,12 @@ def record_grammar(delimiter: str, quote: str, width: int) -> str:
     return f"^{one}(?:{d}{one}){{0,{max(width - 1, 0)}}}\\z"
 
 
+def fits_grammar(column: Column, delimiter: str, quote: str, width: int) -> Column:
+    """Whether a one-line record has legal quoting and no more than ``width`` fields; NULL for
+    NULL.  An empty line is a record of one empty field."""
+    return column.rlike(record_grammar(delimiter, quote, width))
+
+
 def split_record(raw: str, delimiter: str, quote: str) -> list[str] | None:
     """The fields of one record, or None if a field is neither wholly quoted with inner quotes
     doubled nor free of quotes and line breaks."""
