@@ -103,18 +103,18 @@ def profile(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: st
 
 
 def _facets(d: DataFrame, heavy_share: float) -> DataFrame:
-    """(feed, load, column_name, facet, cell, n): each load's distribution in four views."""
+    """(feed, load, column_name, facet, cell, n, t): each load's distribution in four views, in
+    one pass over the described value counts."""
     key = ["feed", "load", "column_name"]
-    held = d.where(F.col("state").isin("ok", "ill"))
-    states = d.groupBy(*key, F.lit("state").alias("facet"), F.col("state").alias("cell")).agg(F.sum("n").alias("n"))
-    shapes = held.groupBy(*key, F.lit("shape").alias("facet"), F.col("shape").alias("cell")).agg(F.sum("n").alias("n"))
-    parts = held.groupBy(*key, F.lit("part").alias("facet"), F.col("part").alias("cell")).agg(F.sum("n").alias("n"))
-    totals = held.groupBy(*key).agg(F.sum("n").alias("t"), F.max("n").alias("m")).where(F.col("m") >= heavy_share * F.col("t"))
-    heavy = held.join(totals, key).where(F.col("n") >= heavy_share * F.col("t")).select("feed", "column_name", "value").distinct()
-    marked = held.join(heavy.withColumn("kept", F.lit(True)), ["feed", "column_name", "value"], "left")
-    values = marked.groupBy(*key, F.lit("value").alias("facet"), F.when(F.col("kept"), F.col("value")).otherwise(F.lit("~other")).alias("cell")).agg(F.sum("n").alias("n"))
-    out = states.unionByName(shapes).unionByName(parts).unionByName(values)
-    return out.withColumn("t", F.sum("n").over(Window.partitionBy(*key, "facet")))
+    held = F.col("state").isin("ok", "ill")
+    totals = d.where(held).groupBy(*key).agg(F.sum("n").alias("t"), F.max("n").alias("m")).where(F.col("m") >= heavy_share * F.col("t"))
+    heavy = d.where(held).join(totals, key).where(F.col("n") >= heavy_share * F.col("t")).select("feed", "column_name", "value").distinct()
+    marked = d.join(heavy.withColumn("kept", F.lit(True)), ["feed", "column_name", "value"], "left")
+    view = lambda name, cell: F.struct(F.lit(name).alias("facet"), cell.alias("cell"))
+    of_values = F.array(view("shape", F.col("shape")), view("part", F.col("part")), view("value", F.when(F.col("kept"), F.col("value")).otherwise(F.lit("~other"))))
+    views = F.explode(F.concat(F.array(view("state", F.col("state"))), F.when(held, of_values).otherwise(F.slice(of_values, 1, 0))))
+    cells = marked.select(*key, "n", views.alias("v")).groupBy(*key, "v.facet", "v.cell").agg(F.sum("n").alias("n"))
+    return cells.withColumn("t", F.sum("n").over(Window.partitionBy(*key, "facet")))
 
 
 def drift(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: str, heavy_share: float = 0.2) -> DataFrame:
@@ -122,11 +122,15 @@ def drift(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: str,
     distribution against its feed's usual one.
 
     The usual share of a cell is the lower median of its shares over all loads of the feed,
-    loads without it counting 0; a few loads that went wrong do not move it.  Facets: state of
+    loads without it counting 0; a few loads that went wrong do not move it.  The value counts
+    and the cells, read several times, are each written once.  Facets: state of
     the values, their shape, their coarse part, and values that make up ``heavy_share`` of some
     load.  Medians are taken over one number per load, found by rank.
     """
-    cells = _facets(described(value_counts(table, checks, feed, load), checks), heavy_share)
+    from ..session import cut
+
+    described_counts = cut(described(value_counts(table, checks, feed, load), checks))
+    cells = cut(_facets(described_counts, heavy_share))
     group = ["feed", "column_name", "facet"]
     loads = cells.select(*group, "load", "t").distinct()
     counted = loads.groupBy(*group).agg(F.count(F.lit(1)).alias("loads"))
