@@ -258,10 +258,20 @@ class Scorer:
 
 
 def decode(model: Crf, sequences: Sequence[np.ndarray], tables: np.ndarray, room: int = 100_000) -> list[np.ndarray]:
-    """Best labels of each sequence of key numbers; sequences of like length go together."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(sequences)
+    """Best labels of each sequence of key numbers.
+
+    Sequences of like length go together.  Most of a text can hold no mention: against the path
+    that labels everything O, a stretch of other labels, which begins with a B, gains at most what
+    its tokens and the best transitions into them gain.  Only tokens in some stretch with a positive bound, and their
+    neighbours, go through Viterbi; the result is that of the whole chain.
+    """
+    out = [np.zeros(len(s), dtype=np.int8) for s in sequences]
     order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
     none, pad = tables.shape[1] - 1, max(map(abs, OFFSETS))
+    # Best transition into each label and out of any, against staying with O.
+    step = model.transitions - model.transitions[0, 0]
+    entry, leave = step.max(0)[1:], max(0.0, float(step[1:, 0].max()))
+    start = np.maximum(model.start[1:] - model.start[0], entry)
     at = 0
     while at < len(order):
         stop = at + 1
@@ -270,30 +280,65 @@ def decode(model: Crf, sequences: Sequence[np.ndarray], tables: np.ndarray, room
         group = order[at:stop]
         at = stop
         lengths = np.array([len(sequences[i]) for i in group])
-        longest, every = int(lengths.max()), np.arange(len(group))
+        longest = int(lengths.max())
         ids = np.full((longest + 2 * pad, len(group)), none, dtype=np.int32)
         for r, i in enumerate(group):
             ids[pad : pad + len(sequences[i]), r] = sequences[i]
         emit = tables[0][ids[:longest]]
         for o, offset in enumerate(OFFSETS[1:], 1):
             emit += tables[o][ids[pad + offset : pad + offset + longest]]
-        back = np.zeros((longest, len(group), len(LABELS)), dtype=np.int8)
-        into = np.ascontiguousarray(model.transitions.T)[None]
-        score = model.start + emit[0]
+        inside = np.arange(longest)[:, None] < lengths
+        # What a token can gain over O: as the first of a mention, and anywhere in one.
+        over = emit[:, :, 1:] - emit[:, :, :1]
+        over[1:] += entry
+        over[0] += start
+        over[~inside] = -1e6
+        begin, any_label = over[:, :, 0::2].max(2), over.max(2)
+        left, right = begin.copy(), any_label.copy()
+        for t in range(1, longest):
+            np.maximum(left[t], left[t - 1] + any_label[t], out=left[t])
+            right[longest - 1 - t] += np.maximum(right[longest - t], 0)
+        maybe = (left + right - any_label + leave > -1e-3) & inside
+        if not maybe.any():
+            continue
+        wide = maybe.copy()
+        wide[1:] |= maybe[:-1]
+        wide[:-1] |= maybe[1:]
+        wide &= inside
+        # Stretches, each from its own start; outside them everything is O.
+        edge = np.diff(wide.astype(np.int8), axis=0, prepend=0, append=0)
+        cols, begins = np.nonzero((edge == 1).T)
+        ends = np.nonzero((edge == -1).T)[1]
+        _stretches(model, emit, cols, begins, ends, lengths, out, group)
+    return out
+
+
+def _stretches(model: Crf, emit: np.ndarray, cols: np.ndarray, begins: np.ndarray, ends: np.ndarray, lengths: np.ndarray, out: list[np.ndarray], group: Sequence[int]) -> None:
+    """Viterbi on stretches [begin, end) of columns of ``emit``, all at once by length.  A
+    stretch that does not begin its text follows an O, one that does not end it goes before one."""
+    size = ends - begins
+    order = np.argsort(size, kind="stable")
+    into = np.ascontiguousarray(model.transitions.T)[None]
+    for part in np.array_split(order, max(1, len(order) // 2048)):
+        n, longest, every = size[part], int(size[part].max()), np.arange(len(part))
+        c, b = cols[part], begins[part]
+        score = np.where((b == 0)[:, None], model.start, model.transitions[0]) + emit[b, c]
+        back = np.zeros((longest, len(part), len(LABELS)), dtype=np.int8)
         for t in range(1, longest):
             paths = score[:, None, :] + into
             back[t] = paths.argmax(2)
-            nxt = paths.max(2) + emit[t]
-            score = np.where((t < lengths)[:, None], nxt, score) if t >= lengths[0] else nxt
-        path = np.empty((longest, len(group)), dtype=np.int8)
-        now = score.argmax(1)
+            on = t < n
+            nxt = paths.max(2) + emit[np.minimum(b + t, len(emit) - 1), c]
+            score = np.where(on[:, None], nxt, score)
+        after = ends[part] < lengths[c]
+        now = (score + np.where(after[:, None], model.transitions[:, 0], 0)).argmax(1)
+        path = np.empty((longest, len(part)), dtype=np.int8)
         for t in range(longest - 1, -1, -1):
             path[t] = now
             if t:
-                now = np.where(t < lengths, back[t, every, now], now)
-        for r, i in enumerate(group):
-            out[i] = path[: lengths[r], r]
-    return out
+                now = np.where(t < n, back[t, every, now], now)
+        for r in range(len(part)):
+            out[group[c[r]]][b[r] : b[r] + n[r]] = path[: n[r], r]
 
 
 #: Words before a name that are none of it.
