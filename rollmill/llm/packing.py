@@ -196,15 +196,17 @@ def slots(packing: Packing) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "first", "container", "per"])
 
 
-def pack(items: DataFrame, capacities: Mapping[str, int], id_col: str, size_col: str, buckets: int = 64) -> DataFrame:
+def pack(items: DataFrame, capacities: Mapping[str, int], id_col: str, size_col: str, buckets: int | None = None) -> DataFrame:
     """Every item's pieces with their containers, for each named capacity:
     pack_name, container_id, id, piece, token_from, n_tokens.
 
     An item is never split unless it alone exceeds the capacity; it is then cut into full
     containers and a rest, which is packed like an item.  Items of size 0 take no room and go to
-    container 0.  Repeated ids are packed as rows of their own.  No items give no rows.
+    container 0.  Repeated ids are packed as rows of their own.  No items give no rows.  Items of
+    one length are ranked in ``buckets`` parts, four times the shuffle partitions unless given.
     """
     spark = items.sparkSession
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = {str(k): int(v) for k, v in capacities.items()}
     sized = cut(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("int").alias("size")))
     caps = F.explode(F.array(*[F.struct(F.lit(k).alias("pack_name"), F.lit(v).alias("capacity")) for k, v in named.items()]))
