@@ -14,13 +14,15 @@ def components(members: DataFrame) -> DataFrame:
     The component is named by its smallest id.  Keys stand between ids, so a key shared by many
     ids costs one row each and no pairs.  Each round takes the smallest label of every key and
     then of every id, both as aggregations that combine before they shuffle; a round that
-    changes nothing is the last.  Labels are written to the shared folder after each round.
+    changes nothing is the last.  Only ids that share a key take part in rounds.  Labels are
+    written to the shared folder after each round.
     """
-    labels = cut(members.groupBy("id").agg(F.min("id").alias("component")))
-    links = cut(members.where("key IS NOT NULL").select("id", "key").distinct())
-    # Keys of one id alone connect nothing.
+    everyone = cut(members.select("id").distinct())
+    # Keys travel as digests of 16 bytes; keys of one id alone connect nothing.
+    links = cut(members.where("key IS NOT NULL").select("id", F.unhex(F.md5(F.col("key").cast("string"))).alias("key")).distinct())
     shared = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     links = cut(links.join(shared, "key"))
+    labels = cut(links.select("id", F.col("id").alias("component")).distinct())
     while True:
         least = links.join(labels, "id").groupBy("key").agg(F.min("component").alias("least"))
         offers = links.join(least, "key").groupBy("id").agg(F.min("least").alias("least"))
@@ -30,4 +32,5 @@ def components(members: DataFrame) -> DataFrame:
         moved = cut(moved.join(jump, F.col("component") == F.col("_i"), "left").select("id", "old", F.least("component", F.coalesce("_c", "component")).alias("component")))
         labels = moved.select("id", "component")
         if moved.where("old <> component").isEmpty():
-            return labels
+            found = labels.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+            return everyone.join(found, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_c", "id").alias("component"))
