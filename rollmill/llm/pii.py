@@ -411,11 +411,12 @@ def redact(text: str, found: Sequence[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None, rows: int = 4_000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None, rows: int = 4_000, redacted: bool = True) -> DataFrame:
     """One row per document: id, ``found`` (kind, start_at from 1, length) and ``redacted``.
 
     NULL texts come out with NULL and no mentions, empty texts empty.  Repeated rows come out as
-    often as they are given.  ``rows`` texts are decoded at a time.
+    often as they are given.  ``rows`` texts are decoded at a time.  Without ``redacted`` that
+    column is NULL and the texts do not travel back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # bounded by the labelled table
     kind = dict(docs.dtypes)[id_col]
@@ -431,7 +432,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
                     {
                         "id": part["id"].to_numpy(),
                         "found": [[{"pii_kind": k, "start_at": a + 1, "length": b - a} for a, b, k in f] for f in found],
-                        "redacted": [redact(t, f) if isinstance(raw, str) else None for t, f, raw in zip(texts, found, part["t"], strict=True)],
+                        "redacted": [redact(t, f) if redacted and isinstance(raw, str) else None for t, f, raw in zip(texts, found, part["t"], strict=True)],
                     }
                 )
 

@@ -70,9 +70,10 @@ def survivors(rows: DataFrame, group: str, id_col: str, usable: Mapping[str, Col
     order = [score.desc(), (trust if trust is not None else F.lit(0)).desc_nulls_last(), F.col(tick(recency)).desc_nulls_last(), F.col(tick(id_col))]
     base = rows.withColumn("_r", F.row_number().over(Window.partitionBy(tick(group)).orderBy(*order))).where("_r = 1").drop("_r")
     best = best_per_field(rows, group, id_col, usable, recency)
-    values = rows.select(F.col(tick(id_col)).alias("best_id"), *[F.col(tick(n)).alias(f"_v_{n}") for n in usable])
-    wide = best.join(values, "best_id").groupBy("group").agg(*[F.max(F.when(F.col("field_name") == n, F.col(f"_v_{n}"))).alias(f"_b_{n}") for n in usable])
-    joined = base.join(wide, F.col(tick(group)) == F.col("group"), "left")
+    values = rows.select(F.col(tick(id_col)).alias("_rm_best"), *[F.col(tick(n)).alias(f"_v_{n}") for n in usable])
+    best = best.withColumnsRenamed({"group": "_rm_group", "best_id": "_rm_best", "field_name": "_rm_field"})
+    wide = best.join(values, "_rm_best").groupBy("_rm_group").agg(*[F.max(F.when(F.col("_rm_field") == n, F.col(f"_v_{n}"))).alias(f"_b_{n}") for n in usable])
+    joined = base.join(wide, F.col(tick(group)) == F.col("_rm_group"), "left")
     return joined.select(*[F.col(f"_b_{c}").alias(c) if c in usable else F.col(tick(c)) for c in rows.columns])
 
 
@@ -152,10 +153,11 @@ def _alike(name: str) -> Column:
 
 
 def groups_of(rows: DataFrame, labels: DataFrame, id_col: str = "id", name: str = "group_id", least: int = 2) -> DataFrame:
-    """``rows`` of groups with at least ``least`` members, with their group."""
+    """``rows`` of groups with at least ``least`` members, with their group; a column of the rows
+    with the group's name gives way to it."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("component")
     kept = labels.join(sizes, "component").select(F.col("id").alias("_rm_id"), F.col("component").alias(name))
-    return rows.join(kept, F.col(tick(id_col)) == F.col("_rm_id")).drop("_rm_id")
+    return rows.drop(name).join(kept, F.col(tick(id_col)) == F.col("_rm_id")).drop("_rm_id")
 
 
 __all__: Sequence[str] = ["best_per_field", "duplicate_groups", "groups_of", "survivors", "usable_address", "usable_email", "usable_phone"]

@@ -199,7 +199,7 @@ def test_usable_values(spark):
 
 def test_survivors(spark, rows):
     at = lambda d: dt.datetime(2020, 1, d)
-    t = spark.createDataFrame([(1, 1, "201-555-1234", None, at(1)), (1, 2, "x", "a@b.org", at(3)), (1, 3, "202-555-1234", "n/a", at(2)), (1, 4, "203-555-1234", None, at(2)), (2, 5, None, None, None), (2, 6, " ", "none", at(1))], "g long, id long, phone string, email string, at timestamp").withColumn("field_name", F.lit("clash"))
+    t = spark.createDataFrame([(1, 1, "201-555-1234", None, at(1)), (1, 2, "x", "a@b.org", at(3)), (1, 3, "202-555-1234", "n/a", at(2)), (1, 4, "203-555-1234", None, at(2)), (2, 5, None, None, None), (2, 6, " ", "none", at(1))], "g long, id long, phone string, email string, at timestamp").withColumn("field_name", F.lit("clash")).withColumn("group", F.lit("clash")).withColumn("best_id", F.lit("clash"))
     usable = {"phone": usable_phone(F.col("phone")), "email": usable_email(F.col("email"))}
     assert rows(best_per_field(t, "g", "id", usable, "at")) == [(1, "email", 2), (1, "phone", 3)]
     assert rows(survivors(t, "g", "id", usable, "at"), "g", "id", "phone", "email") == [(1, 2, "202-555-1234", "a@b.org"), (2, 6, None, None)]
