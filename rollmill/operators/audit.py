@@ -15,7 +15,7 @@ from ..spec import MatchSpec, tick
 from .dedup import check_links
 from .match import STEP
 
-#: The columns of a voter table whose coverage is reported.
+#: The columns of a voter table whose coverage is reported.
 COVERAGE_COLUMNS = (
     "county_file_id",
     "state_file_id",
