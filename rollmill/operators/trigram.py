@@ -30,8 +30,9 @@ def nearest_by_trigram(source: DataFrame, target: DataFrame, source_id: str, tar
     Returns ``source_id`` as ``sid`` and ``target_id`` as ``tid``; ties go to the smallest
     target id.  Each distinct text is compared once.  Prefix filtering bounds the index: with
     trigrams ordered from rare to frequent, two sets that share more than half of their union
-    must share one of the first ``n - ceil(n/2) + 1`` of either, and their sizes differ by less
-    than a factor of two.  Rows are joined on those trigrams only and verified on the sets.
+    must share one of the first ``n - ceil(n/2) + 1`` of either, early enough for the rest to hold
+    the overlap, and their sizes differ by less than a factor of two.  Rows are joined on those
+    trigrams only and verified on the sets.
     """
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
         text = F.col(column).cast("string")
@@ -50,12 +51,13 @@ def nearest_by_trigram(source: DataFrame, target: DataFrame, source_id: str, tar
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"]).alias("grams"))
         .withColumn("n", F.size("grams"))
     )
-    prefix = ordered.withColumn("g", F.explode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") / 2) + 1).cast("int"))))
-    a = prefix.where("side = 0").select("g", F.col("txt").alias("st"), F.col("grams").alias("sg"), F.col("n").alias("sn"))
-    b = prefix.where("side = 1").select("g", F.col("txt").alias("tt"), F.col("grams").alias("tg"), F.col("n").alias("tn"))
+    prefix = ordered.select("*", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") / 2) + 1).cast("int"))).alias("p", "g"))
+    a = prefix.where("side = 0").select("g", F.col("p").alias("sp"), F.col("txt").alias("st"), F.col("grams").alias("sg"), F.col("n").alias("sn"))
+    b = prefix.where("side = 1").select("g", F.col("p").alias("tp"), F.col("txt").alias("tt"), F.col("grams").alias("tg"), F.col("n").alias("tn"))
+    # At their first common trigram two sets can still share what stands behind it in both.
     pairs = (
         a.join(b, "g")
-        .where("sn < 2 * tn AND tn < 2 * sn")
+        .where("sn < 2 * tn AND tn < 2 * sn AND 3 * least(sn - sp, tn - tp) > sn + tn")
         .select("st", "tt", "sn", "tn", F.size(F.array_intersect("sg", "tg")).alias("common"))
         .where("3 * common > sn + tn")
     )
