@@ -54,7 +54,7 @@ def _by_smallest_key(table: DataFrame, spec: MatchSpec) -> DataFrame:
         best.append(F.when(F.col(f"_m{i}") < F.col(tick(key)), F.struct(F.lit(i).alias("o"), F.col(f"_m{i}").alias("t"), F.lit(step.group).alias("g"))))
     found = F.coalesce(*best)
     out = linked.select(*[F.col(tick(c)) for c in table.columns], found["t"].alias(TARGET_ID), found["g"].alias(STEP))
-    return number_rows(out, key)
+    return number_rows(out, key, keys=table)
 
 
 def check_links(links: DataFrame, key: str) -> DataFrame:

@@ -20,21 +20,31 @@ from .trigram import nearest_by_trigram
 SOURCE_ID, TARGET_ID, STEP = "working_source_id", "working_target_id", "match_step"
 
 
-def number_rows(df: DataFrame, key: str, name: str = SOURCE_ID) -> DataFrame:
-    """``df`` with consecutive numbers from 1 in the order of ``key``.
-
-    A global ``row_number`` would sort everything in one task.  Rows are instead range
-    partitioned, numbered inside partitions, and shifted by the counts of the partitions
-    before; only one count per partition is gathered.
+def number_rows(df: DataFrame, key: str, name: str = SOURCE_ID, keys: DataFrame | None = None, rows_per_part: int = 1_000_000) -> DataFrame:
+    """``df`` with consecutive numbers from 1 in the order of ``key``, NULL first.
+
+    A global ``row_number`` sorts everything in one task, and is used for no more than two parts
+    of ``rows_per_part``.  Larger frames are cut at up to 256 fixed bounds, drawn once from a few
+    thousand keys: a row's part depends on its key alone, so the counts per part, which shift the
+    numbers inside parts, hold however often the plan is run.  ``keys`` may give the same keys by
+    a cheaper plan than ``df``.
     """
-    ranged = df.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
-    parted = ranged.withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first())
-    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    column = F.col(tick(key))
+    order = column.asc_nulls_first()
+    known = (keys if keys is not None else df).select(column.alias("_k"))
+    n = known.count()
+    parts = min(256, n // rows_per_part)
+    if parts < 2:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("bigint"))
+    step = max(1, n // (parts * 20))
+    drawn = sorted(r["_k"] for r in known.where(F.col("_k").isNotNull() & (F.pmod(F.xxhash64("_k"), F.lit(step)) == 0)).distinct().collect())
+    bounds = F.array(*[F.lit(drawn[i * len(drawn) // parts]) for i in range(1, parts)]) if drawn else F.array()
+    part = lambda c: F.when(c.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x < c)))
+    sizes = known.groupBy(part(F.col("_k")).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    numbered = parted.withColumn("_row", F.row_number().over(local)).join(shifts, "_part")
-    return numbered.select(*[F.col(tick(c)) for c in df.columns], (F.col("_shift") + F.col("_row")).alias(name))
+    shifts = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))  # at most 257 rows
+    rows = df.withColumn("_part", part(column)).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return rows.join(shifts, "_part").select(*[F.col(tick(c)) for c in df.columns], (F.col("_shift") + F.col("_row")).alias(name))
 
 
 def working_source(source: DataFrame, spec: MatchSpec, key_type: str = "bigint") -> DataFrame:

@@ -76,10 +76,14 @@ def test_one_pass_cascade_equals_sequential(spark, a, b):
         assert got[i] == (min(first) if first else None)
 
 
-def test_numbers_follow_the_key_over_many_partitions(spark):
+@pytest.mark.parametrize("per", [1_000_000, 90])
+def test_numbers_follow_the_key_over_many_parts(spark, per):
     df = spark.range(1000).select((1000 - F.col("id")).alias("k")).repartition(7)
-    got = number_rows(df, "k", "n").collect()
+    got = number_rows(df, "k", "n", rows_per_part=per).collect()
     assert sorted(r["n"] for r in got) == list(range(1, 1001)) and all(r["n"] == r["k"] for r in got)
+    text = df.select(F.when(F.col("k") > 5, F.concat(F.lit("é"), "k")).alias("k"))
+    got = sorted(number_rows(text, "k", "n", rows_per_part=per).collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in got] == list(range(1, 1001)) and [r["k"] for r in got[5:]] == sorted(r["k"] for r in got[5:]) and {r["k"] for r in got[:5]} == {None}
 
 
 def test_upsert_rules(spark, rows):
