@@ -8,6 +8,7 @@ because an exact step depends on earlier ones in no other way.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from pyspark.sql.window import Window
 from ..spec import MatchSpec, MatchStep, mentions, template, tick
 from .trigram import nearest_by_trigram
 
+#: A reference to one side by its name, beside the placeholders.
+_QUALIFIED = re.compile(r"\b[st]\.", re.I)
+
 SOURCE_ID, TARGET_ID, STEP = "working_source_id", "working_target_id", "match_step"
 
 
@@ -60,11 +64,13 @@ def _condition(step: MatchStep) -> Column:
 
 def _step_links(source: DataFrame, target: DataFrame, spec: MatchSpec, step: MatchStep, order: int) -> DataFrame:
     sid, tid = spec.source_key, spec.target_key
-    plain = not step.joins and not any(mentions(text, "T") for _, text in step.constraints)
-    if plain:
-        names = sorted({b for _, b in step.pairs})
-        reduced = target.where(F.expr(" AND ".join(f"{tick(n)} IS NOT NULL" for n in names)))
-        reduced = reduced.groupBy(*[F.col(tick(n)) for n in names]).agg(F.min(tick(tid)).alias("_rm_hit"))
+    needed = sorted({b for _, b in step.pairs} | {c for c, text in step.constraints if mentions(text, "T")})
+    named = any(_QUALIFIED.search(text) for _, text in step.constraints)
+    if not step.joins and not named and tid not in needed:
+        # Targets that agree in all the step looks at stand for their smallest key.
+        keys = sorted({b for _, b in step.pairs})
+        reduced = target.where(F.expr(" AND ".join(f"{tick(n)} IS NOT NULL" for n in keys)))
+        reduced = reduced.groupBy(*[F.col(tick(n)) for n in needed]).agg(F.min(tick(tid)).alias("_rm_hit"))
         t, hit = reduced.alias("t"), F.col("t._rm_hit")
     else:
         t, hit = target.alias("t"), F.col(f"t.{tick(tid)}")
