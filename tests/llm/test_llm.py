@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 tokens = pytest.importorskip("rollmill.llm.tokens")
 
 from rollmill.llm.graph import components  # noqa: E402
-from rollmill.llm.linkage import CHANCE, LEVELS, fit, link  # noqa: E402
+from rollmill.llm.linkage import CHANCE, LEVELS, candidates, fit, link, read_roll, read_voters  # noqa: E402
 from rollmill.llm.packing import nnls, pack, pack_histogram, slots  # noqa: E402
 from rollmill.llm.people import county_digits, read_date, split_name  # noqa: E402
 from rollmill.llm.pii import find_pii, mentions, redact, tags, train  # noqa: E402
@@ -259,6 +259,12 @@ def test_linkage(spark, rows):
     assert len(found & truth) >= 0.93 * len(truth) and len(found - truth) <= 4
     assert got.groupBy("roll_id").count().where("count > 1").count() == 0 and got.where("confidence < 0.6 OR confidence > 1").count() == 0
     assert link(v.limit(0), r).count() == 0 and link(v, r.limit(0)).count() == 0
+    # Keys that too many share are refined, and find the same people but for bare namesakes.
+    a, b = read_voters(v), read_roll(r).withColumn("profile", F.col("id").cast("string"))
+    every, some = candidates(a, b), candidates(a, b, most_pairs=20)
+    assert some.join(every, ["a_id", "profile"], "left_anti").count() == 0 and some.count() < every.count()
+    kept = {(x["a_id"], int(x["profile"])) for x in some.collect()}
+    assert len(kept & truth) >= 0.9 * len(truth)
 
 
 def test_em_recovers_weights():
