@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ensure_on_workers
 from ..spec import tick
 
 #: Recorded time of reports that came without one: before all others.
@@ -192,6 +193,7 @@ def bitemporal_ledger(rows: DataFrame, hot_rows: int = 100_000) -> DataFrame:
 
 def _swept(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     order = ["entity", "epoch", F.col("carried").desc(), "rec", "eff", "tie", *(f"f_{n}" for n in fields)]
+    ensure_on_workers(rows.sparkSession)
     timed = rows.withColumn("rec", F.unix_micros("rec"))  # whole range of times, as pandas has not
     pieces = timed.repartition("entity", "epoch").sortWithinPartitions(*order).mapInPandas(_sweeper(list(fields)), _PIECE)
     return pieces.withColumns({c: F.timestamp_micros(c) for c in ("recorded_from", "recorded_to")})

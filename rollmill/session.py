@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,30 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ensure_on_workers(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers.
+
+    Nothing is done where it lies on ``PYTHONPATH``, or in the working folder of a local session.
+    Otherwise its sources are added to the session once, as a file Spark gives to every executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    near = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root not in near and not (context.master.startswith("local[") and os.getcwd() == root):
+        archive = os.path.join(tempfile.mkdtemp(prefix="rollmill-code-"), "rollmill.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, root))
+        context.addPyFile(archive)
+    _shipped.add(context.applicationId)
