@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, ensure_on_workers
 
 #: Least-squares steps that are tried: length classes per capacity, and lengths per pattern.
 TRIALS = ((256, 2), (128, 3))
@@ -206,6 +206,7 @@ def pack(items: DataFrame, capacities: Mapping[str, int], id_col: str, size_col:
     one length are ranked in ``buckets`` parts, four times the shuffle partitions unless given.
     """
     spark = items.sparkSession
+    ensure_on_workers(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = {str(k): int(v) for k, v in capacities.items()}
     sized = cut(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("int").alias("size")))

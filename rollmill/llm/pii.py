@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import ensure_on_workers, spread
 from ..spec import tick
 from .pii_samples import labelled
 
@@ -418,6 +418,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     often as they are given.  ``rows`` texts are decoded at a time.  Without ``redacted`` that
     column is NULL and the texts do not travel back.
     """
+    ensure_on_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # bounded by the labelled table
     kind = dict(docs.dtypes)[id_col]
 

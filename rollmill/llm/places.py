@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, ensure_on_workers
 from .postal import near, read_address, squeeze
 
 _PARTS = "kind string, number string, direction string, street string, type string, unit string, place string"
@@ -29,6 +29,7 @@ _PARTS = "kind string, number string, direction string, street string, type stri
 
 def read_records(records: DataFrame, id_col: str, line: str, more: str | None, town: str, zip_code: str, area: str) -> DataFrame:
     """(id, area, town, zip, and the components of the address); texts in lower case."""
+    ensure_on_workers(records.sparkSession)
     picked = records.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(line).cast("string"), F.lit("")).alias("line"),

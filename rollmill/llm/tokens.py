@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ensure_on_workers
 from ..spec import tick
 
 #: White space of Unicode, for a pattern of the JVM.
@@ -75,6 +75,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(ids=[encoder.encode_ordinary(w) for w in batch["word"]])
 
+    ensure_on_workers(words.sparkSession)
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counts.mapInPandas(encode, "word string, n bigint, ids array<int>")
 
