@@ -6,7 +6,8 @@ missing town follows from the postcode.  Then every form is indexed by its house
 and locality, and by the strings that deleting one letter of its street leaves (the form itself
 included): forms that share an index entry differ by about one slip.  House or box number and unit
 are in the index key, so a difference in either is a veto.  For each candidate pair the words
-are assigned to each other at least cost; directions, road numbers and types must not disagree.
+are assigned to each other at least cost; directions, road numbers and types must not disagree,
+and a direction or type that one lacks is taken from the others where these have only one.
 Each form then follows the best supported form it agrees with, and records whose forms end at the
 same one denote the same place.
 """
@@ -151,21 +152,26 @@ def places(records: DataFrame, id_col: str, line: str, more: str | None, town: s
     rows = mend_streets(settle_localities(read_records(records, id_col, line, more, town, zip_code, area)))
     rows = cut(rows.where("kind <> '' AND number <> ''").select("id", *FORM))
     known = rows.groupBy("locality", "direction", "street", "type").agg(F.count(F.lit(1)).alias("support"))
-    forms = rows.groupBy(*FORM).agg(F.count(F.lit(1)).alias("n")).join(known, ["locality", "direction", "street", "type"])
+    common = rows.groupBy("locality", "direction", "street").agg(F.count(F.lit(1)).alias("common"))
+    forms = rows.groupBy(*FORM).agg(F.count(F.lit(1)).alias("n")).join(known, ["locality", "direction", "street", "type"]).join(common, ["locality", "direction", "street"])
     forms = cut(forms.withColumn("form", F.concat_ws("|", *FORM)))
 
     index = forms.withColumn("key", F.explode(deletions(F.col("street"))))
-    block = ["locality", "kind", "number", "unit", "direction", "key"]
-    a = index.select(*block, F.col("form").alias("form"), F.col("street").alias("sa"), F.col("type").alias("ta"), F.col("support").alias("na"))
-    b = index.select(*block, F.col("form").alias("other"), F.col("street").alias("sb"), F.col("type").alias("tb"), F.col("support").alias("nb"))
-    pairs = a.join(b, block).where("form <> other AND (ta = tb OR ta = '' OR tb = '')").drop("key").distinct()
-    pairs = pairs.withColumn("cost", _assignment("sa", "sb")).where("cost IS NOT NULL")
-    # A form follows a better known one: with its type where it has none, then of more support.
-    up = pairs.where("(ta = '' AND tb <> '') OR ((ta = '') = (tb = '') AND cost > 0 AND (nb > na OR (nb = na AND other < form)))")
-    # Without a type a form may follow only if all its candidates have one type.
-    kinds = F.size(F.collect_set("tb").over(Window.partitionBy("form")))
-    up = up.withColumn("kinds", kinds).where("ta <> '' OR tb = '' OR kinds = 1")
-    follows = up.groupBy("form").agg(F.min(F.struct(F.when(F.col("tb") == "", 1).otherwise(0).alias("t"), "cost", (-F.col("nb")).alias("n"), "other"))["other"].alias("to"))
+    block = ["locality", "kind", "number", "unit", "key"]
+    side = lambda form, x: index.select(*block, F.col("form").alias(form), *[F.col(c).alias(f"{c[0]}{x}") for c in ("street", "type", "direction")], F.col("support").alias(f"n{x}"), F.col("common").alias(f"c{x}"))
+    agree = "(ta = tb OR ta = '' OR tb = '') AND (da = db OR da = '' OR db = '')"
+    pairs = side("form", "a").join(side("other", "b"), block).where(f"form <> other AND {agree}").drop("key").distinct()
+    pairs = cut(pairs.withColumn("cost", _assignment("sa", "sb")).where("cost IS NOT NULL"))
+    # A missing type or direction is settled if all candidates have one.  A street written without
+    # direction eight times as often as with it has none, and the record with one lies elsewhere.
+    only = lambda own, other: F.when(F.max(own) != "", F.max(own)).when(F.count_distinct(F.when(F.col(other) != "", F.col(other))) == 1, F.max(other)).otherwise("")
+    lacking = F.max((F.col("da") == "") & (F.col("db") != "") & (F.col("ca") < 8 * F.col("cb")))
+    settled = cut(pairs.groupBy("form").agg(only("ta", "tb").alias("t"), F.when((F.max("da") != "") | lacking, only("da", "db")).otherwise("").alias("d")))
+    pairs = pairs.join(settled, "form").join(settled.select(F.col("form").alias("other"), F.col("t").alias("t_b"), F.col("d").alias("d_b")), "other").where("t = t_b AND d = d_b")
+    # A form follows a better known one: with a type or direction it lacks, then of more support.
+    whole = lambda x: (F.col(f"t{x}") != "").cast("int") + (F.col(f"d{x}") != "").cast("int")
+    up = pairs.withColumn("more", whole("b") - whole("a")).where("more > 0 OR (more = 0 AND (nb > na OR (nb = na AND other < form)))")
+    follows = up.groupBy("form").agg(F.min(F.struct((-F.col("more")).alias("m"), "cost", (-F.col("nb")).alias("n"), "other"))["other"].alias("to"))
     ends = _ends(follows)
     keyed = rows.withColumn("form", F.concat_ws("|", *FORM)).select("id", "form")
     return keyed.join(ends, "form", "left").select("id", F.coalesce("to", "form").alias("place"))

@@ -188,6 +188,21 @@ def test_places(spark, rows):
     assert lone.select("place").distinct().count() == 1
 
 
+def test_places_without_direction(spark):
+    lines = {
+        1: "12 N Elm Hill Rd", 2: "12 Elm Hill Rd", 3: "12 North Elm Hill", 4: "12 Elm Hil Road",
+        10: "14 N Elm Hill Rd", 11: "14 S Elm Hill Rd", 12: "14 Elm Hill Rd",
+        20: "7 E Alder Ln", 21: "7 Alder Ln", 22: "9 E Alder Ln",
+        30: "5 W Quarry", 31: "5 Quarry Ct",
+    }
+    df = spark.createDataFrame([(i, x, None, "Milowood", "10190", "C1") for i, x in lines.items()], "address_id long, a1 string, a2 string, town string, zip string, county string")
+    by = {}
+    for r in places(df, "address_id", "a1", "a2", "town", "zip", "county").collect():
+        by.setdefault(r["place"], set()).add(r["id"])
+    # 12 could be north or south; 30 and 31 each have what the other lacks.
+    assert sorted(map(sorted, by.values())) == [[1, 2, 3, 4], [10], [11], [12], [20, 21], [22], [30, 31]]
+
+
 def test_usable_values(spark):
     t = spark.createDataFrame([(p,) for p in ("(201) 555-1234", "+1 201 555 1234", "2015551234", "000-000-0000", "1234567890", "5555555555", "201555123?", "2015551", "", None, "call")], "v string")
     assert [r[0] for r in t.select(usable_phone(F.col("v"))).collect()] == [True] * 3 + [False] * 8
