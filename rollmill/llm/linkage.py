@@ -213,20 +213,23 @@ def _refined(key: Column) -> Column:
     )
 
 
-def candidates(a: DataFrame, b: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, most_pairs: int | None = None, block: int = 1_000) -> DataFrame:
     """Distinct (a_id, profile) that share a key of some blocking pass.
 
-    A key that would give more than ``most_pairs`` pairs says little by itself; it is replaced by
-    finer keys that join it with birth year, birthday, address or the end of an identifier.  A
-    pair that agrees in such a key and in none of these is not proposed; a common name alone
-    stays below the threshold of a match anyway.
+    A key of more than ``block`` x ``block`` pairs is joined in a grid: each side is cut into
+    parts of about ``block`` records, and every part meets every part of the other side, so no
+    pair is lost and no task holds all pairs of a key.
+
+    ``most_pairs`` is for callers who want fewer candidates than there are: a key that would give
+    more pairs is replaced by finer keys, and a pair that agrees in none of these is not proposed.
     """
     # Keys travel as 64-bit hashes: a collision proposes a pair more, which comparison turns down.
     keyed = lambda df, name: df.select(name, *_FINER, F.explode(blocking_keys()).alias("k")).select(name, *_FINER, F.xxhash64("k").alias("key"))
     ka, kb = keyed(a.withColumnRenamed("id", "a_id"), "a_id"), keyed(b, "profile")
     sides = ka.select("key", F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(kb.select("key", F.lit(0).alias("na"), F.lit(1).alias("nb")))
     counts = sides.groupBy("key").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    hot = cut(counts.where(F.col("na") * F.col("nb") > most_pairs).select("key"))
+    many = counts.where(F.col("na") * F.col("nb") > (block * block if most_pairs is None else most_pairs))
+    hot = cut(many.select("key", F.ceil(F.col("na") / block).alias("parts_a"), F.ceil(F.col("nb") / block).alias("parts_b")))
     if hot.isEmpty():
         return ka.select("a_id", "key").join(kb.select("profile", "key"), "key").select("a_id", "profile").distinct()
 
@@ -234,7 +237,16 @@ def candidates(a: DataFrame, b: DataFrame, most_pairs: int = 1_000_000) -> DataF
         cold = side.join(hot, "key", "left_anti").select(name, "key")
         return cold.unionByName(side.join(hot, "key", "left_semi").select(name, F.explode(_refined(F.col("key").cast("string"))).alias("k")).select(name, F.xxhash64("k").alias("key")))
 
-    return finer(ka, "a_id").join(finer(kb, "profile"), "key").select("a_id", "profile").distinct()
+    def grid(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Each record in its own part, once per part of the other side."""
+        parts = lambda n: F.coalesce(n, F.lit(1).cast("bigint"))
+        placed = side.select(name, "key").join(hot, "key", "left")
+        return placed.select(name, "key", F.pmod(F.xxhash64(name), parts(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(other) - 1)).alias(other))
+
+    if most_pairs is not None:
+        return finer(ka, "a_id").join(finer(kb, "profile"), "key").select("a_id", "profile").distinct()
+    ga, gb = grid(ka, "a_id", "parts_a", "parts_b"), grid(kb, "profile", "parts_b", "parts_a")
+    return ga.join(gb, ["key", "parts_a", "parts_b"]).select("a_id", "profile").distinct()
 
 
 #: Attributes that refine a key.

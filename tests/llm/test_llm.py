@@ -282,6 +282,16 @@ def test_linkage(spark, rows):
     assert len(kept & truth) >= 0.9 * len(truth)
 
 
+def test_hot_keys_keep_every_pair(spark):
+    # Namesakes of one county without birth date: 1,080,000 pairs of one key, hardly any other.
+    voters = spark.createDataFrame([_v(i, f"K1-{10_000_000 + i * 37}", None, "Petra", None, "Quist", None, a=f"{i + 1} Elm Hill Rd") for i in range(1200)], VOTER)
+    roll = spark.createDataFrame([(i, "Quist, Petra", None, f"K1-{10_000_000 + i * 37}"[:9], None, "C1", None, "F") for i in range(900)], ROLL)
+    a, b = read_voters(voters), read_roll(roll).withColumn("profile", F.col("id").cast("string"))
+    assert candidates(a, b).count() == 1200 * 900
+    assert candidates(a.where("id < 50"), b.where("id < 31"), block=7).count() == 50 * 31
+    assert candidates(a.where("id < 50"), b.where("id < 3"), block=4).count() == 50 * 3
+
+
 def test_em_recovers_weights():
     import pandas as pd
 
