@@ -102,13 +102,21 @@ def profile(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: st
     )
 
 
-def _facets(d: DataFrame, heavy_share: float) -> DataFrame:
+def _weight(n: Column, t: Column) -> Column:
+    """What a value held n times in t adds to the index of a load whose feed usually lacks it.
+
+    Once or twice is no repetition: nothing, as its chi-square alone could never be clear.
+    """
+    return F.when(n >= 3, n / (t + 1) * F.log(2 * n + 1)).otherwise(0.0)
+
+
+def _facets(d: DataFrame, least_weight: float) -> DataFrame:
     """(feed, load, column_name, facet, cell, n, t): each load's distribution in four views, in
     one pass over the described value counts."""
     key = ["feed", "load", "column_name"]
     held = F.col("state").isin("ok", "ill")
-    totals = d.where(held).groupBy(*key).agg(F.sum("n").alias("t"), F.max("n").alias("m")).where(F.col("m") >= heavy_share * F.col("t"))
-    heavy = d.where(held).join(totals, key).where(F.col("n") >= heavy_share * F.col("t")).select("feed", "column_name", "value").distinct()
+    totals = d.where(held).groupBy(*key).agg(F.sum("n").alias("t"), F.max("n").alias("m")).where(_weight(F.col("m"), F.col("t")) >= least_weight)
+    heavy = d.where(held).join(totals, key).where(_weight(F.col("n"), F.col("t")) >= least_weight).select("feed", "column_name", "value").distinct()
     marked = d.join(heavy.withColumn("kept", F.lit(True)), ["feed", "column_name", "value"], "left")
     view = lambda name, cell: F.struct(F.lit(name).alias("facet"), cell.alias("cell"))
     of_values = F.array(view("shape", F.col("shape")), view("part", F.col("part")), view("value", F.when(F.col("kept"), F.col("value")).otherwise(F.lit("~other"))))
@@ -117,20 +125,22 @@ def _facets(d: DataFrame, heavy_share: float) -> DataFrame:
     return cells.withColumn("t", F.sum("n").over(Window.partitionBy(*key, "facet")))
 
 
-def drift(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: str, heavy_share: float = 0.2) -> DataFrame:
+def drift(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: str, least_weight: float = 0.025) -> DataFrame:
     """Per load, column and facet: population stability index and chi-square of the load's
     distribution against its feed's usual one.
 
     The usual share of a cell is the lower median of its shares over all loads of the feed,
     loads without it counting 0; a few loads that went wrong do not move it.  The value counts
     and the cells, read several times, are each written once.  Facets: state of
-    the values, their shape, their coarse part, and values that make up ``heavy_share`` of some
-    load.  Medians are taken over one number per load, found by rank.
+    the values, their shape, their coarse part, and the values themselves.  Values that would add
+    less than ``least_weight`` to the index of every load, a tenth of what departs, share a cell;
+    that leaves a bounded number of cells per load.  Medians are taken over one number per load,
+    found by rank.
     """
     from ..session import cut
 
     described_counts = cut(described(value_counts(table, checks, feed, load), checks))
-    cells = cut(_facets(described_counts, heavy_share))
+    cells = cut(_facets(described_counts, least_weight))
     group = ["feed", "column_name", "facet"]
     loads = cells.select(*group, "load", "t").distinct()
     counted = loads.groupBy(*group).agg(F.count(F.lit(1)).alias("loads"))

@@ -184,6 +184,16 @@ def test_departing_loads(spark, rows):
     assert departing(drift(empty, contact_checks(), "feed_id", "load_id")).count() == 0 and profile(empty, contact_checks(), "feed_id", "load_id").count() == 0
 
 
+@pytest.mark.parametrize("values, times", [(1, 24), (10, 15), (30, 5)])
+def test_repeated_values_depart(spark, rows, values, times):
+    # Well-formed numbers of the usual area code and shape; only their repetition is unusual.
+    data = [(1, load, f"201-555-{i % values if load == 4 and i < values * times else load * 200 + i:04d}", None, None, None) for load in range(1, 9) for i in range(150)]
+    df = spark.createDataFrame(data, "feed_id int, load_id int, phone string, email string, gender string, born_at string")
+    assert rows(departing(drift(df, contact_checks(), "feed_id", "load_id")), "load", "column_name", "facet") == [(4, "phone", "value")]
+    few = df.where("load_id <> 4").withColumn("phone", F.when(F.expr("load_id <> 2 OR phone LIKE '%0'"), F.col("phone")))
+    assert departing(drift(few, contact_checks(), "feed_id", "load_id")).where("facet = 'value'").count() == 0
+
+
 def test_profile_counts(spark):
     t = spark.createDataFrame([(1, 1, p, None, "F", "2000-02-30") for p in ("201-555-0100", "201-555-0100", "", None, "x")], "feed_id int, load_id int, phone string, email string, gender string, born_at string")
     got = {r["column_name"]: r for r in profile(t, contact_checks(), "feed_id", "load_id").collect()}
