@@ -162,6 +162,17 @@ def test_many_open_quotes_stay_with_their_record(spark):
     assert [g[1] for g in got] == [why[r] for r in raws]
 
 
+def test_reader_decides_on_plain_records(monkeypatch):
+    from rollmill.sources import rejects as module
+
+    asked, split = [], module.split_record
+    monkeypatch.setattr(module, "split_record", lambda raw, *dialect: asked.append(raw) or split(raw, *dialect))
+    raws = ["a,b", "a", "a,b,c", "^a,b", "c", "a^,b", "x,y,z,w"]
+    got = module.load_chunk("h,k", list(range(7)), raws, ",", "^", {})
+    assert [g[1] for g in got] == [None, "column_count", "column_count", "quoting", "column_count", "quoting", "column_count"]
+    assert asked == ["h,k", "^a,b", "a^,b"]
+
+
 def _loads(spark, odd):
     rng = random.Random(1)
     data = []
