@@ -3,8 +3,9 @@
 Records are read into components on the workers and reduced to distinct *forms* before anything
 is compared, so copies never meet.  Localities come first: slips in town names are mended and a
 missing town follows from the postcode.  Then every form is indexed by its house number, unit
-and locality, and by the strings that deleting one letter of its street leaves (the form itself
-included): forms that share an index entry differ by about one slip.  House or box number and unit
+and locality, and by the strings that deleting one letter of its street, or of one of its words,
+leaves (both themselves included): forms that share an entry differ by about one slip or share a
+word, in whatever order.  House or box number and unit
 are in the index key, so a difference in either is a veto.  For each candidate pair the words
 are assigned to each other at least cost; directions, road numbers and types must not disagree,
 and a direction or type that one lacks is taken from the others where these have only one.
@@ -156,7 +157,8 @@ def places(records: DataFrame, id_col: str, line: str, more: str | None, town: s
     forms = rows.groupBy(*FORM).agg(F.count(F.lit(1)).alias("n")).join(known, ["locality", "direction", "street", "type"]).join(common, ["locality", "direction", "street"])
     forms = cut(forms.withColumn("form", F.concat_ws("|", *FORM)))
 
-    index = forms.withColumn("key", F.explode(deletions(F.col("street"))))
+    words = F.flatten(F.transform(F.split("street", " "), deletions))
+    index = forms.withColumn("key", F.explode(F.array_union(deletions(F.col("street")), words)))
     block = ["locality", "kind", "number", "unit", "key"]
     side = lambda form, x: index.select(*block, F.col("form").alias(form), *[F.col(c).alias(f"{c[0]}{x}") for c in ("street", "type", "direction")], F.col("support").alias(f"n{x}"), F.col("common").alias(f"c{x}"))
     agree = "(ta = tb OR ta = '' OR tb = '') AND (da = db OR da = '' OR db = '')"

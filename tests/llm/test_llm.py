@@ -203,6 +203,15 @@ def test_places_without_direction(spark):
     assert sorted(map(sorted, by.values())) == [[1, 2, 3, 4], [10], [11], [12], [20, 21], [22], [30, 31]]
 
 
+def test_places_with_reordered_words(spark):
+    lines = {1: "12 Elm Hill Rd", 2: "12 Hill Elm Rd", 3: "12 Hill Elmm Road", 4: "12 Oak Hill Rd"}
+    df = spark.createDataFrame([(i, x, None, "Milowood", "10190", "C1") for i, x in lines.items()], "address_id long, a1 string, a2 string, town string, zip string, county string")
+    by = {}
+    for r in places(df, "address_id", "a1", "a2", "town", "zip", "county").collect():
+        by.setdefault(r["place"], set()).add(r["id"])
+    assert sorted(map(sorted, by.values())) == [[1, 2, 3], [4]]
+
+
 def test_usable_values(spark):
     t = spark.createDataFrame([(p,) for p in ("(201) 555-1234", "+1 201 555 1234", "2015551234", "000-000-0000", "1234567890", "5555555555", "201555123?", "2015551", "", None, "call")], "v string")
     assert [r[0] for r in t.select(usable_phone(F.col("v"))).collect()] == [True] * 3 + [False] * 8
