@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -28,7 +29,8 @@ def get_spark(app: str = "rollmill", cores: int | str = "*", shuffle_partitions:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; one of our own only where none is set.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder all executors share.
+    On a cluster ``spark.checkpoint.dir`` names a folder all executors share.  Off local masters
+    there is no fallback: a folder of one machine would be lost with it, so ``ValueError`` is raised.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -37,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rollmill-checkpoint-"))
     return context.getCheckpointDir()
 
