@@ -4,7 +4,8 @@ Both tables are brought to common attributes on the workers.  Several blocking p
 equality join on a key that few records share, propose candidate pairs; every pair is compared
 attribute by attribute on a few levels of agreement.  The counts of level patterns, whose number
 the levels bound, go to the driver, where expectation-maximisation estimates how often matches and
-non-matches show each level.  The posterior probability of a match is the pair's confidence, and
+non-matches show each level; for identifiers, how often non-matches do comes from random pairs.
+The posterior probability of a match is the pair's confidence, and
 each record of the second table takes the pair of highest confidence.
 """
 
@@ -27,9 +28,9 @@ ATTRIBUTES = "f string, m string, l string, born string, ck string, sk string, c
 #: Levels per comparison; level 0 is "cannot be compared" and says nothing.
 LEVELS = {"last": 5, "first": 6, "middle": 3, "born": 5, "county": 4, "state": 4, "address": 5, "gender": 3}
 
-#: How often different people agree on an identifier by chance or by a slip: equal, and in part.
-#: Estimation leaves these alone, as candidates that agree on one are nearly all matches.
-CHANCE = {"county": (1e-4, 1e-2), "state": (1e-4, 1e-2)}
+#: Comparisons of identifiers.  Candidates that agree on one are nearly all matches, so how often
+#: different people do is not estimated from candidates but from random pairs.
+IDENTIFIERS = ("county", "state")
 
 
 def _row(first: str, middle: str, last: str, born: str, county_id: str | None, state_id: str | None, county: str | None, line: str | None, more: str | None, gender: str | None) -> tuple:
@@ -158,10 +159,11 @@ class Model:
         return 1 / (1 + F.exp(-log_odds))
 
 
-def fit(patterns: pd.DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> Model:
+def fit(patterns: pd.DataFrame, known: Mapping[str, tuple[float, ...]], rounds: int = 200, tolerance: float = 1e-7) -> Model:
     """Expectation-maximisation over counted patterns (one column per comparison, and ``n``).
 
     Comparisons are taken as independent given the class; a missing level weighs nothing.
+    ``known`` has how often non-matches show each level of some comparisons, which stays as given.
     Without patterns the model has a prior of one half and no weights.
     """
     names = list(LEVELS)
@@ -176,8 +178,8 @@ def fit(patterns: pd.DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> M
         m[k] = start / start.sum()
         # Most candidates may be matches, so non-matches start as the mirror image.
         u[k] = np.concatenate([[0.0], (start / start.sum())[:0:-1]])
-        if k in CHANCE:
-            u[k] = np.array([0.0, *CHANCE[k], 1 - sum(CHANCE[k])])
+        if k in known:
+            u[k] = np.array(known[k])
     prior = 0.5
     for _ in range(rounds):
         odds = np.full(len(n), np.log(prior / (1 - prior)))
@@ -188,7 +190,7 @@ def fit(patterns: pd.DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> M
         g = 1 / (1 + np.exp(-odds))
         new = float(np.clip((g * n).sum() / n.sum(), 1e-6, 1 - 1e-6))
         for k in names:
-            for share, weight in ((m, g * n), *([(u, (1 - g) * n)] if k not in CHANCE else [])):
+            for share, weight in ((m, g * n), *([(u, (1 - g) * n)] if k not in known else [])):
                 c = (hot[k] * weight[:, None]).sum(0)[1:] + 0.01
                 share[k] = np.concatenate([[0.0], c / c.sum()])
         if abs(new - prior) < tolerance:
@@ -203,54 +205,53 @@ def fit(patterns: pd.DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> M
     return Model(prior, weights)
 
 
-def _refined(key: Column) -> Column:
-    """Finer keys in the place of one that too many records share."""
-    more = lambda tag, value: F.when(value != "", F.concat_ws("/", key, F.lit(tag), value))
-    address = F.when((F.col("number") != "") & (F.col("street") != ""), F.concat_ws(" ", "number", "street")).otherwise("")
-    return F.filter(
-        F.array(more("y", F.substring("born", 1, 4)), more("d", F.substring("born", 6, 5)), more("a", address), more("c", F.substring(_bare("ck"), -4, 4)), more("s", F.substring(_bare("sk"), -4, 4))),
-        lambda k: k.isNotNull(),
-    )
-
-
-def candidates(a: DataFrame, b: DataFrame, most_pairs: int | None = None, block: int = 1_000) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, block: int = 1_000) -> DataFrame:
     """Distinct (a_id, profile) that share a key of some blocking pass.
 
-    A key of more than ``block`` x ``block`` pairs is joined in a grid: each side is cut into
-    parts of about ``block`` records, and every part meets every part of the other side, so no
-    pair is lost and no task holds all pairs of a key.
-
-    ``most_pairs`` is for callers who want fewer candidates than there are: a key that would give
-    more pairs is replaced by finer keys, and a pair that agrees in none of these is not proposed.
+    Every pair of a key is proposed.  A key of more than ``block`` x ``block`` pairs is joined in a
+    grid: each side is cut into parts of about ``block`` records, and every part meets every part of
+    the other side, so no task holds all pairs of a key.  ``block`` changes the plan, not the pairs.
     """
     # Keys travel as 64-bit hashes: a collision proposes a pair more, which comparison turns down.
-    keyed = lambda df, name: df.select(name, *_FINER, F.explode(blocking_keys()).alias("k")).select(name, *_FINER, F.xxhash64("k").alias("key"))
+    keyed = lambda df, name: df.select(name, F.explode(blocking_keys()).alias("k")).select(name, F.xxhash64("k").alias("key"))
     ka, kb = keyed(a.withColumnRenamed("id", "a_id"), "a_id"), keyed(b, "profile")
     sides = ka.select("key", F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(kb.select("key", F.lit(0).alias("na"), F.lit(1).alias("nb")))
     counts = sides.groupBy("key").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    many = counts.where(F.col("na") * F.col("nb") > (block * block if most_pairs is None else most_pairs))
+    many = counts.where(F.col("na") * F.col("nb") > block * block)
     hot = cut(many.select("key", F.ceil(F.col("na") / block).alias("parts_a"), F.ceil(F.col("nb") / block).alias("parts_b")))
     if hot.isEmpty():
-        return ka.select("a_id", "key").join(kb.select("profile", "key"), "key").select("a_id", "profile").distinct()
-
-    def finer(side: DataFrame, name: str) -> DataFrame:
-        cold = side.join(hot, "key", "left_anti").select(name, "key")
-        return cold.unionByName(side.join(hot, "key", "left_semi").select(name, F.explode(_refined(F.col("key").cast("string"))).alias("k")).select(name, F.xxhash64("k").alias("key")))
+        return ka.join(kb, "key").select("a_id", "profile").distinct()
 
     def grid(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
         """Each record in its own part, once per part of the other side."""
         parts = lambda n: F.coalesce(n, F.lit(1).cast("bigint"))
-        placed = side.select(name, "key").join(hot, "key", "left")
+        placed = side.join(hot, "key", "left")
         return placed.select(name, "key", F.pmod(F.xxhash64(name), parts(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(other) - 1)).alias(other))
 
-    if most_pairs is not None:
-        return finer(ka, "a_id").join(finer(kb, "profile"), "key").select("a_id", "profile").distinct()
     ga, gb = grid(ka, "a_id", "parts_a", "parts_b"), grid(kb, "profile", "parts_b", "parts_a")
     return ga.join(gb, ["key", "parts_a", "parts_b"]).select("a_id", "profile").distinct()
 
 
-#: Attributes that refine a key.
-_FINER = ("born", "number", "street", "ck", "sk")
+def chance(a: DataFrame, b: DataFrame, draws: int = 20) -> dict[str, tuple[float, ...]]:
+    """How often different people show each level of an identifier, from random pairs.
+
+    Every record of ``b`` meets about ``draws`` records of ``a``, drawn by hash: both sides fall into
+    as many buckets as that takes, so the work grows with the tables and no bucket is hot.  Pairs
+    that agree in birth date, or in both names, may be matches and do not count.  Half a pair is
+    added to every level, so a level that never occurs is as rare as the draws can tell.
+    """
+    buckets = max(1, -(-a.count() // draws))
+    need = ("l", "f", "born", "ck", "sk", "cc")
+    side = lambda df, key, name: df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.struct(*need).alias(name))
+    drawn = side(a, "id", "a").join(side(b, "profile", "b"), "bucket")
+    apart = F.expr("NOT (a.born <> '' AND a.born = b.born) AND NOT (a.l <> '' AND a.l = b.l AND a.f = b.f)")
+    steps = comparisons()
+    counted = drawn.where(apart).groupBy(*[steps[k].alias(k) for k in IDENTIFIERS]).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most one row per combination of levels
+    out = {}
+    for k in IDENTIFIERS:
+        n = np.bincount(counted[k].to_numpy(int), counted["n"].to_numpy(float), LEVELS[k])[1:] + 0.5
+        out[k] = (0.0, *(n / n.sum()))
+    return out
 
 
 def link(voters: DataFrame, roll: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -270,7 +271,7 @@ def link(voters: DataFrame, roll: DataFrame, threshold: float = 0.6) -> DataFram
     pairs = pairs.join(b.select("profile", F.struct(*_NAMES).alias("b")), "profile")
     levels = cut(pairs.select("a_id", "profile", *[c.alias(k) for k, c in comparisons().items()]))
     counted = levels.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n")).toPandas()  # bounded by the product of the levels
-    model = fit(counted)
+    model = fit(counted, chance(a, b))
     scored = levels.select("a_id", "profile", model.posterior().alias("confidence")).where(F.col("confidence") >= threshold)
     best = scored.groupBy("profile").agg(F.max(F.struct("confidence", (-F.col("a_id")).alias("minus"))).alias("m"))
     each = rows.select("id", "profile").join(best, "profile").groupBy("id").agg(F.max("m").alias("m"))
