@@ -1,21 +1,22 @@
 """Which address records denote the same place.
 
-Records are read into components on the workers and reduced to distinct *forms* before anything
-is compared, so copies never meet.  Localities come first: slips in town names are mended and a
-missing town follows from the postcode.  Then every form is indexed by its house number, unit
-and locality, and by the strings that deleting one letter of its street, or of one of its words,
-leaves (both themselves included): forms that share an entry differ by about one slip or share a
-word, in whatever order.  House or box number and unit
-are in the index key, so a difference in either is a veto.  For each candidate pair the words
-are assigned to each other at least cost; directions, road numbers and types must not disagree,
-and a direction or type that one lacks is taken from the others where these have only one.
-Each form then follows the best supported form it agrees with, and records whose forms end at the
-same one denote the same place.
+Records are read into components once, on the workers, and reduced to distinct *forms* before
+anything is compared, so copies never meet.  Localities come first: slips in town names are mended
+and a missing town follows from the postcode.  Then every form is indexed in its blocks: its
+locality, every postcode that more than one locality uses, and the neighbouring locality best known
+in such a postcode.  Inside a block the index holds the strings that deleting one letter of a street
+word, or of the whole street, leaves (both themselves included): forms that share an entry differ by
+about one slip or share a word, in whatever order.  House or box number and unit are in the index
+key, so a difference in either is a veto.  For each candidate pair the words of town and street are
+assigned to each other at least cost; directions, road numbers and types must not disagree, and a
+direction or type that one lacks is taken from the others where these have only one.  Each form then
+follows the best supported form it agrees with, and records whose forms end at the same one denote
+the same place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,8 +74,8 @@ def mended(words: DataFrame, block: str, word: str) -> DataFrame:
     over all blocks, or if it occurs no more than twice itself and the other is more frequent.
     """
     counts = words.where(F.length(word) >= 4).groupBy(F.col(block).alias("block"), F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    known = counts.groupBy("word").agg(F.sum("n").alias("all"))
-    index = cut(counts.join(known, "word").select("block", "word", "all", F.explode(deletions(F.col("word"))).alias("key")))
+    known = counts.withColumn("all", F.sum("n").over(Window.partitionBy("word")))
+    index = cut(known.select("block", "word", "all", F.explode(deletions(F.col("word"))).alias("key")))
     a = index.select("block", "key", F.col("word").alias("word"), F.col("all").alias("n"))
     b = index.select("block", "key", F.col("word").alias("other"), F.col("all").alias("m"))
     better = (F.col("m") >= 8 * F.col("n")) | ((F.col("n") <= 2) & (F.col("m") > F.col("n")))
@@ -89,10 +90,9 @@ def settle_localities(read: DataFrame) -> DataFrame:
     named = read.where("town <> ''")
     fixes = mended(named, "area", "town").select(F.col("block").alias("area"), F.col("word").alias("town"), "fixed")
     towns = read.join(fixes, ["area", "town"], "left").withColumn("town", F.coalesce("fixed", "town")).drop("fixed")
-    votes = towns.where("town <> '' AND zip <> ''").groupBy("zip", "town").agg(F.count(F.lit(1)).alias("n"))
-    by_zip = votes.groupBy("zip").agg(F.max(F.struct("n", "town"))["town"].alias("zip_town"))
-    votes = towns.where("town <> ''").groupBy("area", "town").agg(F.count(F.lit(1)).alias("n"))
-    shares = votes.groupBy("area").agg(F.max(F.struct("n", "town")).alias("b"), F.sum("n").alias("s"))
+    votes = towns.where("town <> ''").groupBy("zip", "area", "town").agg(F.count(F.lit(1)).alias("n"))
+    by_zip = votes.where("zip <> ''").groupBy("zip", "town").agg(F.sum("n").alias("n")).groupBy("zip").agg(F.max(F.struct("n", "town"))["town"].alias("zip_town"))
+    shares = votes.groupBy("area", "town").agg(F.sum("n").alias("n")).groupBy("area").agg(F.max(F.struct("n", "town")).alias("b"), F.sum("n").alias("s"))
     by_area = shares.where("b.n >= 0.95 * s").select("area", F.col("b.town").alias("area_town"))
     out = towns.join(by_zip, "zip", "left").join(by_area, "area", "left")
     place = F.coalesce(F.nullif("town", F.lit("")), "zip_town", F.when(F.col("zip") == "", F.col("area_town")), F.concat(F.lit("zip "), F.nullif("zip", F.lit(""))), F.concat(F.lit("area "), F.col("area")))
@@ -100,45 +100,78 @@ def settle_localities(read: DataFrame) -> DataFrame:
 
 
 def mend_streets(read: DataFrame) -> DataFrame:
-    """``read`` with slips in street words mended against the words of the locality."""
-    words = read.where("street <> '' AND type <> 'cr'").select("locality", F.explode(F.split("street", " ")).alias("word"))
-    fixes = mended(words, "locality", "word").groupBy(F.col("block").alias("locality")).agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("fixes"))
-    out = read.join(fixes, "locality", "left")
-    fixed = F.array_join(F.transform(F.split("street", " "), lambda w: F.coalesce(F.try_element_at("fixes", w), w)), " ")
-    return out.withColumn("street", F.when(F.col("fixes").isNull(), F.col("street")).otherwise(fixed)).drop("fixes")
+    """``read`` with slips in street words mended against the words of the locality.
+
+    Fixes join to the words of distinct streets by locality and word, so nothing of a large town
+    travels as a whole."""
+    streets = read.where("street <> '' AND type <> 'cr'")
+    words = streets.select("locality", F.explode(F.split("street", " ")).alias("word"))
+    fixes = mended(words, "locality", "word").select(F.col("block").alias("locality"), "word", "fixed")
+    each = streets.select("locality", "street").distinct().select("locality", "street", F.posexplode(F.split("street", " ")).alias("at", "word"))
+    new = each.join(fixes, ["locality", "word"], "left").groupBy("locality", "street").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("fixed", "word").alias("w")))).alias("l"), F.max("fixed").alias("any"))
+    new = new.where("any IS NOT NULL").select("locality", "street", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("mended"))
+    out = read.join(new, ["locality", "street"], "left")
+    return out.withColumn("street", F.when(F.col("type") != "cr", F.coalesce("mended", "street")).otherwise(F.col("street"))).drop("mended")
+
+
+_NO = 10**6
+
+
+def least_assignment(cost: Sequence[Sequence[int]]) -> int:
+    """Least total cost of assigning rows to columns one to one, for a square matrix, by the
+    Hungarian method (cubic in its size)."""
+    n = len(cost)
+    u, v, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, seen, before = [_NO * (n + 1)] * (n + 1), [False] * (n + 1), [0] * (n + 1)
+        while owner[at]:
+            seen[at] = True
+            row, delta, nxt = owner[at], _NO * (n + 1), 0
+            for j in range(1, n + 1):
+                if not seen[j]:
+                    c = cost[row - 1][j - 1] - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], before[j] = c, at
+                    if least[j] < delta:
+                        delta, nxt = least[j], j
+            for j in range(n + 1):
+                if seen[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = nxt
+        while at:
+            owner[at], at = owner[before[at]], before[at]
+    return sum(cost[owner[j] - 1][j - 1] for j in range(1, n + 1))
 
 
 def assignment(a: str, b: str) -> int | None:
     """Least number of slips that turn the words of one street into the other's, each word
     assigned to one of the other's; None if words remain or differ by more than one slip."""
-    x, y = a.split(), b.split()
-    if a.replace(" ", "") == b.replace(" ", ""):
+    if a == b or a.replace(" ", "") == b.replace(" ", ""):
         return 0
     if [c for c in a if c.isdigit()] != [c for c in b if c.isdigit()]:
         return None  # a road's number is part of its name, never a slip
-    if len(x) != len(y):
-        return 1 if near(a.replace(" ", ""), b.replace(" ", "")) else None
-
-    def best(i: int, free: frozenset[int]) -> int | None:
-        if i == len(x):
-            return 0
-        costs = []
-        for j in free:
-            if x[i] == y[j] or (near(x[i], y[j]) and not any(c.isdigit() for c in x[i] + y[j])):
-                rest = best(i + 1, free - {j})
-                if rest is not None:
-                    costs.append(rest + (x[i] != y[j]))
-        return min(costs, default=None)
-
-    cost = best(0, frozenset(range(len(y)))) if len(x) <= 6 else None
-    if cost is None and near(a.replace(" ", ""), b.replace(" ", "")):
-        cost = 1
-    return cost
+    x, y = a.split(), b.split()
+    if len(x) == len(y):
+        slip = lambda p, q: 1 if near(p, q) and not any(c.isdigit() for c in p + q) else _NO
+        cost = least_assignment([[0 if p == q else slip(p, q) for q in y] for p in x])
+        if cost < _NO:
+            return cost
+    return 1 if near(a.replace(" ", ""), b.replace(" ", "")) else None
 
 
 @F.pandas_udf(T.IntegerType())
-def _assignment(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([assignment(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _assignment(a: pd.Series, b: pd.Series, town_a: pd.Series, town_b: pd.Series) -> pd.Series:
+    """Slips in street and town together; None if either cannot be assigned."""
+    out = []
+    for x, y, p, q in zip(a, b, town_a, town_b, strict=True):
+        street = assignment(x, y)
+        town = 0 if p == q else assignment(p, q)
+        out.append(None if street is None or town is None else street + town)
+    return pd.Series(out, dtype="Int32")
 
 
 FORM = ["locality", "kind", "number", "unit", "direction", "street", "type"]
@@ -150,20 +183,22 @@ def places(records: DataFrame, id_col: str, line: str, more: str | None, town: s
     Records without street or box, or without a number, denote no place we could compare and
     are left out.  Columns may be NULL; repeated ids come out once per row.
     """
-    rows = mend_streets(settle_localities(read_records(records, id_col, line, more, town, zip_code, area)))
-    rows = cut(rows.where("kind <> '' AND number <> ''").select("id", *FORM))
-    known = rows.groupBy("locality", "direction", "street", "type").agg(F.count(F.lit(1)).alias("support"))
-    common = rows.groupBy("locality", "direction", "street").agg(F.count(F.lit(1)).alias("common"))
-    forms = rows.groupBy(*FORM).agg(F.count(F.lit(1)).alias("n")).join(known, ["locality", "direction", "street", "type"]).join(common, ["locality", "direction", "street"])
-    forms = cut(forms.withColumn("form", F.concat_ws("|", *FORM)))
-
+    read = cut(read_records(records, id_col, line, more, town, zip_code, area))
+    settled = cut(settle_localities(read).where("kind <> '' AND number <> ''").select("id", "zip", *FORM))
+    rows = cut(mend_streets(settled))
+    counted = rows.groupBy(*FORM).agg(F.count(F.lit(1)).alias("n"))
+    over = lambda *names: F.sum("n").over(Window.partitionBy(*names))
+    street = ["locality", "direction", "street"]
+    forms = counted.withColumn("support", over(*street, "type")).withColumn("common", over(*street)).withColumn("form", F.concat_ws("|", *FORM))
+
+    block = ["block", "kind", "number", "unit", "key"]
+    entries = cut(_blocks(forms, rows))
     words = F.flatten(F.transform(F.split("street", " "), deletions))
-    index = forms.withColumn("key", F.explode(F.array_union(deletions(F.col("street")), words)))
-    block = ["locality", "kind", "number", "unit", "key"]
-    side = lambda form, x: index.select(*block, F.col("form").alias(form), *[F.col(c).alias(f"{c[0]}{x}") for c in ("street", "type", "direction")], F.col("support").alias(f"n{x}"), F.col("common").alias(f"c{x}"))
+    index = entries.withColumn("key", F.explode(F.array_union(deletions(F.col("street")), words)))
+    side = lambda form, x: index.select(*block, F.col("form").alias(form), F.col("locality").alias(f"l{x}"), *[F.col(c).alias(f"{c[0]}{x}") for c in ("street", "type", "direction")], F.col("support").alias(f"n{x}"), F.col("common").alias(f"c{x}"))
     agree = "(ta = tb OR ta = '' OR tb = '') AND (da = db OR da = '' OR db = '')"
-    pairs = side("form", "a").join(side("other", "b"), block).where(f"form <> other AND {agree}").drop("key").distinct()
-    pairs = cut(pairs.withColumn("cost", _assignment("sa", "sb")).where("cost IS NOT NULL"))
+    pairs = side("form", "a").join(side("other", "b"), block).where(f"form <> other AND {agree}").drop(*block).dropDuplicates(["form", "other"])
+    pairs = cut(pairs.withColumn("cost", _assignment("sa", "sb", "la", "lb")).where("cost IS NOT NULL"))
     # A missing type or direction is settled if all candidates have one.  A street written without
     # direction eight times as often as with it has none, and the record with one lies elsewhere.
     only = lambda own, other: F.when(F.max(own) != "", F.max(own)).when(F.count_distinct(F.when(F.col(other) != "", F.col(other))) == 1, F.max(other)).otherwise("")
@@ -179,6 +214,22 @@ def places(records: DataFrame, id_col: str, line: str, more: str | None, town: s
     return keyed.join(ends, "form", "left").select("id", F.coalesce("to", "form").alias("place"))
 
 
+def _blocks(forms: DataFrame, rows: DataFrame) -> DataFrame:
+    """Forms with the blocks they are compared in; a form that is alone with its number and unit in
+    a block has nothing to be compared with there and is left out.
+
+    A postcode that only one locality uses would hold no pair which the locality's own block lacks."""
+    used = rows.where("zip <> ''").groupBy("zip", "locality").agg(F.count(F.lit(1)).alias("n"))
+    shared = used.groupBy("zip").agg(F.max(F.struct("n", "locality"))["locality"].alias("best"), F.count(F.lit(1)).alias("localities")).where("localities > 1")
+    there = rows.where("zip <> ''").select("zip", *FORM).distinct().join(shared, "zip")
+    more = there.select(*FORM, F.explode(F.array(F.concat(F.lit("zip "), F.col("zip")), F.col("best"))).alias("block")).where("block <> locality").distinct()
+    attributes = [c for c in forms.columns if c not in FORM]
+    extra = more.join(forms, FORM).select(*FORM, *attributes, "block")
+    entries = forms.select(*FORM, *attributes, F.col("locality").alias("block")).unionByName(extra)
+    alone = Window.partitionBy("block", "kind", "number", "unit")
+    return entries.withColumn("_m", F.count(F.lit(1)).over(alone)).where("_m > 1").drop("_m")
+
+
 def _ends(follows: DataFrame) -> DataFrame:
     """Each form's last leader.  Leaders rise strictly, so chains end; each round doubles the
     steps taken, and a round that changes nothing is the last."""
@@ -194,5 +245,6 @@ def _ends(follows: DataFrame) -> DataFrame:
 
 def same_place_pairs(found: DataFrame) -> DataFrame:
     """(low, high) for every two records of one place."""
-    a, b = found.select("place", F.col("id").alias("low")), found.select("place", F.col("id").alias("high"))
-    return a.join(b, "place").where("low < high").select("low", "high").distinct()
+    once = found.select("place", "id").distinct()
+    a, b = once.select("place", F.col("id").alias("low")), once.select("place", F.col("id").alias("high"))
+    return a.join(b, "place").where("low < high").select("low", "high")

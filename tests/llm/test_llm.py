@@ -13,7 +13,7 @@ from rollmill.llm.packing import nnls, pack, pack_histogram, slots  # noqa: E402
 from rollmill.llm.people import county_digits, read_date, split_name  # noqa: E402
 from rollmill.llm.pii import find_pii, mentions, redact, tags, train  # noqa: E402
 from rollmill.llm.pii_samples import labelled  # noqa: E402
-from rollmill.llm.places import assignment, places, same_place_pairs  # noqa: E402
+from rollmill.llm.places import assignment, least_assignment, places, same_place_pairs  # noqa: E402
 from rollmill.llm.postal import near, read_address  # noqa: E402
 from rollmill.llm.survivors import best_per_field, duplicate_groups, groups_of, survivors, usable_address, usable_email, usable_phone  # noqa: E402
 
@@ -156,6 +156,34 @@ def test_slips_and_assignment():
     assert assignment("elm hill", "oak hill") is None and assignment("county road 6", "county road 8") is None
 
 
+def test_least_assignment_against_all_orders():
+    import itertools
+
+    rng = random.Random(6)
+    for n in range(1, 7):
+        for _ in range(20):
+            m = [[rng.choice((0, 1, 1, 5, 10**6)) for _ in range(n)] for _ in range(n)]
+            assert least_assignment(m) == min(sum(m[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+    # Streets of many words, too, in whatever order.
+    words = "old upper mill road by the long winding river bank near saint mary".split()
+    turned = words[5:] + words[:5]
+    assert assignment(" ".join(words), " ".join(turned)) == 0
+    assert assignment(" ".join(words), " ".join(["rivre" if w == "river" else w for w in turned])) == 1
+    assert assignment(" ".join(words), " ".join([*turned[:-1], "quarry"])) is None
+
+
+def test_places_in_neighbouring_localities(spark):
+    rows = [(i, f"{10 + i} Elm Hill Rd", "Milowood", "10190") for i in range(30)] + [(i, f"{10 + i} Oak St", "Valuton", "10010") for i in range(100, 110)]
+    rows += [(50, "12 Elm Hill Rd", "Miilowod", "10190"), (51, "13 Elm Hill Rd", "Valuton", "10190"), (52, "14 Hill Elm Road", "Mliowood", "10190"), (53, "15 Elm Hill Rd", "Milowod", "10190")]
+    df = spark.createDataFrame([(i, x, None, t, z, "C2" if i in (50, 53) else "C1") for i, x, t, z in rows], "address_id long, a1 string, a2 string, town string, zip string, county string")
+    by = {}
+    for r in places(df, "address_id", "a1", "a2", "town", "zip", "county").collect():
+        by.setdefault(r["place"], set()).add(r["id"])
+    # 53 is of another area, where nothing mends its town, and meets the others in their postcode; 50
+    # has two slips in one word, 51 names another town of the same postcode.
+    assert sorted(map(sorted, (v for v in by.values() if len(v) > 1))) == [[4, 52], [5, 53]] and {50} in by.values() and {51} in by.values()
+
+
 def test_places(spark, rows):
     def rec(i, line, more, town, z):
         return (i, line, more, town, z, "C1")
