@@ -76,10 +76,9 @@ def mended(words: DataFrame, block: str, word: str) -> DataFrame:
     counts = words.where(F.length(word) >= 4).groupBy(F.col(block).alias("block"), F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("n"))
     known = counts.withColumn("all", F.sum("n").over(Window.partitionBy("word")))
     index = cut(known.select("block", "word", "all", F.explode(deletions(F.col("word"))).alias("key")))
-    a = index.select("block", "key", F.col("word").alias("word"), F.col("all").alias("n"))
-    b = index.select("block", "key", F.col("word").alias("other"), F.col("all").alias("m"))
-    better = (F.col("m") >= 8 * F.col("n")) | ((F.col("n") <= 2) & (F.col("m") > F.col("n")))
-    pairs = a.join(b, ["block", "key"]).where((F.col("word") != F.col("other")) & better).select("block", "word", "other", "m").distinct()
+    better = "b.all >= 8 * a.all OR (a.all <= 2 AND b.all > a.all)"
+    met = index.alias("a").join(index.alias("b"), ["block", "key"]).where(f"a.word <> b.word AND ({better})")
+    pairs = met.select("block", F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("b.all").alias("m")).distinct()
     pairs = pairs.where(_near("word", "other"))
     return pairs.groupBy("block", "word").agg(F.max(F.struct("m", "other"))["other"].alias("fixed"))
 
@@ -191,13 +190,17 @@ def places(records: DataFrame, id_col: str, line: str, more: str | None, town: s
     street = ["locality", "direction", "street"]
     forms = counted.withColumn("support", over(*street, "type")).withColumn("common", over(*street)).withColumn("form", F.concat_ws("|", *FORM))
 
-    block = ["block", "kind", "number", "unit", "key"]
-    entries = cut(_blocks(forms, rows))
+    # The index travels as one hash per entry; what it stands for is compared after the join.
+    veto = F.concat_ws("|", "kind", "number", "unit")
     words = F.flatten(F.transform(F.split("street", " "), deletions))
-    index = entries.withColumn("key", F.explode(F.array_union(deletions(F.col("street")), words)))
-    side = lambda form, x: index.select(*block, F.col("form").alias(form), F.col("locality").alias(f"l{x}"), *[F.col(c).alias(f"{c[0]}{x}") for c in ("street", "type", "direction")], F.col("support").alias(f"n{x}"), F.col("common").alias(f"c{x}"))
-    agree = "(ta = tb OR ta = '' OR tb = '') AND (da = db OR da = '' OR db = '')"
-    pairs = side("form", "a").join(side("other", "b"), block).where(f"form <> other AND {agree}").drop(*block).dropDuplicates(["form", "other"])
+    keys = F.array_union(deletions(F.col("street")), words)
+    entries = cut(_blocks(forms, rows)).withColumn("veto", veto).withColumn("keys", F.transform(keys, lambda k: F.xxhash64("block", "veto", k)))
+    index = entries.select(F.explode("keys").alias("key"), "form", "veto", "locality", "street", "type", "direction", "support", "common")
+    # Both sides are one and the same exchange; columns get their sides' names behind it.
+    agree = "a.veto = b.veto AND (a.type = b.type OR a.type = '' OR b.type = '') AND (a.direction = b.direction OR a.direction = '' OR b.direction = '')"
+    met = index.alias("a").join(index.alias("b"), F.col("a.key") == F.col("b.key")).where(f"a.form <> b.form AND {agree}")
+    sides = [F.col(f"{x}.{c}").alias(f"{n}{x}") for x in "ab" for c, n in (("locality", "l"), ("street", "s"), ("type", "t"), ("direction", "d"), ("support", "n"), ("common", "c"))]
+    pairs = met.select(F.col("a.form").alias("form"), F.col("b.form").alias("other"), *sides).dropDuplicates(["form", "other"])
     pairs = cut(pairs.withColumn("cost", _assignment("sa", "sb", "la", "lb")).where("cost IS NOT NULL"))
     # A missing type or direction is settled if all candidates have one.  A street written without
     # direction eight times as often as with it has none, and the record with one lies elsewhere.
