@@ -101,7 +101,7 @@ def blocking_keys() -> Column:
 
 def _bare(name: str | Column) -> Column:
     """An identifier without leading zeros, which some sources drop."""
-    return F.regexp_replace(F.col(name) if isinstance(name, str) else name, "^0+", "")
+    return F.ltrim(F.col(name) if isinstance(name, str) else name, F.lit("0"))
 
 
 def _slip(x: Column, y: Column) -> Column:
@@ -232,7 +232,7 @@ def candidates(a: DataFrame, b: DataFrame, block: int = 1_000) -> DataFrame:
     return ga.join(gb, ["key", "parts_a", "parts_b"]).select("a_id", "profile").distinct()
 
 
-def chance(a: DataFrame, b: DataFrame, draws: int = 20) -> dict[str, tuple[float, ...]]:
+def chance(a: DataFrame, b: DataFrame, draws: int = 5) -> dict[str, tuple[float, ...]]:
     """How often different people show each level of an identifier, from random pairs.
 
     Every record of ``b`` meets about ``draws`` records of ``a``, drawn by hash: both sides fall into
