@@ -162,15 +162,21 @@ def test_many_open_quotes_stay_with_their_record(spark):
     assert [g[1] for g in got] == [why[r] for r in raws]
 
 
-def test_reader_decides_on_plain_records(monkeypatch):
+def test_reader_decides(monkeypatch):
     from rollmill.sources import rejects as module
 
     asked, split = [], module.split_record
     monkeypatch.setattr(module, "split_record", lambda raw, *dialect: asked.append(raw) or split(raw, *dialect))
-    raws = ["a,b", "a", "a,b,c", "^a,b", "c", "a^,b", "x,y,z,w"]
-    got = module.load_chunk("h,k", list(range(7)), raws, ",", "^", {})
-    assert [g[1] for g in got] == [None, "column_count", "column_count", "quoting", "column_count", "quoting", "column_count"]
-    assert asked == ["h,k", "^a,b", "a^,b"]
+    raws = ["a,b", "a", "a,b,c", "^a,b", "c", "a^,b", "x,y,z,w", "^q^x,b"]
+    got = module.load_chunk("h,k", list(range(8)), raws, ",", "^", {})
+    assert [g[1] for g in got] == [None, "column_count", "column_count", "quoting", "column_count", "quoting", "column_count", "quoting"]
+    # The grammar is asked only where the reader loaded a field that holds the quote.
+    assert asked == ["h,k", "a^,b"]
+    # Fields and reasons are the reader's: without it nothing loads, with another verdict another comes out.
+    monkeypatch.setattr(module, "_read", lambda files, names, *rest: ({}, {}))
+    assert {g[1] for g in module.load_chunk("h,k", [0], ["a,b"], ",", "^", {})} == {"quoting"}
+    monkeypatch.setattr(module, "_read", lambda files, names, *rest: ({0: ("A", "B", False)}, {1: "column_count"}))
+    assert module.load_chunk("h,k", [0, 1], ["a,b", "c,d"], ",", "^", {}) == [(0, None, ["h", "k"], ["A", "B"]), (1, "column_count", None, None)]
 
 
 def _loads(spark, odd):
