@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Election type codes and the suffix each stands for.
 ELECTION_SUFFIXES = {"pr": "primary", "ge": "general", "pp": "presidential_primary", "sp": "special"}
 
+#: Fixed value: the form of an e-mail address up to the end of the text.
+EMAIL_FORM = r"^\S*\.[a-zA-Z][a-zA-Z\.]*[a-zA-Z]"
+
 
 def election_name(date: Column, kind: Column) -> Column:
     """``2012_general`` from a date text and a type code; an unknown code stands for itself in
@@ -30,7 +33,7 @@ def date_or_null(text: Column) -> Column:
 def email_valid(text: Column) -> Column:
     """True for NULL and the empty text; else 3 to 100 characters with an ``@`` that end in a
     dot and a last label of two or more letters."""
-    fits = F.length(text).between(3, 100) & text.contains("@") & text.rlike(r"^\S*\.[a-zA-Z][a-zA-Z\.]*[a-zA-Z]\z")
+    fits = F.length(text).between(3, 100) & text.contains("@") & text.rlike(EMAIL_FORM + r"\z")
     return F.when(text.isNull() | (text == ""), F.lit(True)).otherwise(fits)
 
 
@@ -42,9 +45,9 @@ _SQL = {
         CASE WHEN x RLIKE r'^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z' THEN try_cast(x AS DATE) END,
         CASE WHEN x RLIKE r'^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z' THEN CAST(try_to_timestamp(x, 'M/d/yyyy') AS DATE) END,
         CASE WHEN x RLIKE r'^[0-9]{8}\z' THEN CAST(try_to_timestamp(x, 'yyyyMMdd') AS DATE) END)""",
-    "email_valid": r"""CREATE OR REPLACE TEMPORARY FUNCTION email_valid(x STRING) RETURNS BOOLEAN RETURN
+    "email_valid": rf"""CREATE OR REPLACE TEMPORARY FUNCTION email_valid(x STRING) RETURNS BOOLEAN RETURN
         CASE WHEN x IS NULL OR x = '' THEN true
-        ELSE length(x) BETWEEN 3 AND 100 AND contains(x, '@') AND x RLIKE r'^\S*\.[a-zA-Z][a-zA-Z\.]*[a-zA-Z]\z' END""",
+        ELSE length(x) BETWEEN 3 AND 100 AND contains(x, '@') AND x RLIKE r'{EMAIL_FORM}\z' END""",
 }
 
 

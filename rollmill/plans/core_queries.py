@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import date_or_null, election_name, email_valid, load_extension
+from ..functions.scalar import EMAIL_FORM, date_or_null, election_name, email_valid, load_extension
 from ..operators import audit
 from ..operators.dedup import check_links, collapse, dedup_links
 from ..operators.geo import prepare_for_geocoding
@@ -375,24 +375,12 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return part.select("p_partkey", line.alias("line"))
 
 
-def clean_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of legal quoting with at most three fields, parsed; short ones padded with NULL."""
-    fits = _lines(spark, folder).where(fits_grammar(F.col("line"), ",", "^", 3))
-    parsed = F.from_csv("line", F.lit("a STRING, b STRING, c STRING"), {"sep": ",", "quote": "^", "escape": "^", "nullValue": "\u0001", "mode": "PERMISSIVE"})
-    return fits.select("p_partkey", parsed.alias("r")).select("p_partkey", "r.a", "r.b", "r.c")
-
-
 def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Number of lines in all and of malformed ones."""
     bad = ~fits_grammar(F.col("line"), ",", "^", 3)
     return _lines(spark, folder).agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("malformed"))
 
 
-def scrub_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines without the matches of a pattern."""
-    return _lines(spark, folder).select("p_partkey", F.regexp_replace("line", r"\^|#[0-9]+", "").alias("line"))
-
-
 def copy_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Voters in the text COPY form."""
     picked = ["id", "first_name", "phone", "is_perm_absentee", "updated_at"]
@@ -418,7 +406,7 @@ def queries() -> Queries:
             map_columns, constrain_rows, group_records, copy_schema, map_column_expr, copy_column_multi_key,
             profile_key_uniqueness, profile_coverage, profile_distribution, profile_top_k, profile_total, profile_geocoding,
             geocode_prep, fn_election_name, fn_date_or_null, fn_email_valid, fn_similarity, sql_passthrough,
-            clean_rows, malformed_rows, scrub_rows, copy_sink, sql_count,
+            malformed_rows, copy_sink, sql_count,
         )
     }
     return named | {"copy_column": copy_column_query, "dedup_links": dedup_match}
@@ -447,14 +435,10 @@ _NUMBERED = "SELECT s.id, row_number() OVER (ORDER BY s.id) AS working_source_id
 _DATE_SQL = r"""strftime(coalesce(CASE WHEN regexp_matches(born_at, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$') THEN try_cast(born_at AS DATE) END,
  CASE WHEN regexp_matches(born_at, '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$') THEN CAST(try_strptime(born_at, '%m/%d/%Y') AS DATE) END,
  CASE WHEN regexp_matches(born_at, '^[0-9]{8}$') THEN CAST(try_strptime(born_at, '%Y%m%d') AS DATE) END), '%Y-%m-%d')"""
-_EMAIL_SQL = r"CASE WHEN email IS NULL OR email = '' THEN true ELSE length(email) BETWEEN 3 AND 100 AND contains(email, '@') AND regexp_matches(email, '^\S*\.[a-zA-Z][a-zA-Z\.]*[a-zA-Z]$') END"
+_EMAIL_SQL = f"CASE WHEN email IS NULL OR email = '' THEN true ELSE length(email) BETWEEN 3 AND 100 AND contains(email, '@') AND regexp_matches(email, '{EMAIL_FORM}$') END"
 _ELECTION = "CASE o_orderkey % 5 WHEN 0 THEN '_primary' WHEN 1 THEN '_general' WHEN 2 THEN '_presidential_primary' WHEN 3 THEN '_special' ELSE '_xx' END"
 
 
-_LINES = """lines AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_partkey || ',^' || p_name || ', ^^new^^^,' || p_brand WHEN 1 THEN p_partkey || ',' || p_name || '^,' || p_brand
- WHEN 2 THEN p_partkey || ',' || p_name || ',' || p_brand || ',' WHEN 3 THEN p_partkey || ',' || p_name ELSE p_partkey || ',' || p_name || ',' || p_brand END AS line FROM part)"""
-
-
 def _union(parts) -> str:
     return " UNION ALL ".join(parts)
 
@@ -516,9 +500,7 @@ def oracle_sql() -> dict[str, str]:
         "fn_date_or_null": f"SELECT row_id, {_DATE_SQL} AS as_column, {_DATE_SQL} AS as_sql FROM voter_loads",
         "fn_email_valid": f"SELECT id, {_EMAIL_SQL} AS as_column, {_EMAIL_SQL} AS as_sql FROM voters",
         "fn_similarity": f"SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(nullif(len(a) + len(b) - len(list_intersect(a, b)), 0) AS DOUBLE), 9) AS similarity FROM (SELECT p_partkey, {_GRAMS.format('p_name')} a, {_GRAMS.format('p_type')} b FROM part)",
-        "clean_rows": "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS a, CASE WHEN p_partkey % 6 = 0 THEN p_name || ', ^new^' ELSE p_name END AS b, CASE WHEN p_partkey % 6 <> 3 THEN p_brand END AS c FROM part WHERE p_partkey % 6 NOT IN (1, 2)",
         "malformed_rows": "SELECT count(*) AS total, count(*) FILTER (p_partkey % 6 IN (1, 2)) AS malformed FROM part",
-        "scrub_rows": f"WITH {_LINES} SELECT p_partkey, regexp_replace(line, '\\^|#[0-9]+', '', 'g') AS line FROM lines",
         "copy_sink": "SELECT id || chr(9) || coalesce(first_name, '\\N') || chr(9) || coalesce(phone, '\\N') || chr(9) || coalesce(CAST(is_perm_absentee AS VARCHAR), '\\N') || chr(9) || strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS line FROM voters",
         "sql_count": "SELECT count(*) FILTER (party = 'DEM') AS some, CAST(0 AS BIGINT) AS none FROM voters",
         "sql_passthrough": "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS dearest FROM orders GROUP BY o_orderpriority",

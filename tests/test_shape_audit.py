@@ -65,6 +65,42 @@ def test_scrub_encoding_and_maps(spark, tmp_path, rows):
     assert rows(mapped.load()) == [("é", "É", "literal")]
 
 
+def test_rows_that_equal_the_header_stay(spark, tmp_path, rows):
+    for n in ("one", "two"):
+        (tmp_path / f"{n}.csv").write_bytes(b"a,b\r\n1,2\r\na,b\r\n3,4\r\n" if n == "one" else b"a,b\r\n5,6\r\n")
+    f = DelimitedFile(spark, str(tmp_path))
+    assert f.headers == ["a", "b"] and rows(f.load()) == [("1", "2"), ("3", "4"), ("5", "6"), ("a", "b")]
+    assert f.remove_malformed_rows().malformed_count() == 0
+    (tmp_path / "two.csv").write_bytes(b"b,a\r\n5,6\r\n")
+    with pytest.raises(Exception):
+        DelimitedFile(spark, str(tmp_path)).load().collect()
+
+
+BROKEN = 'h1,h2\r\n1,^two\nlines^\r\n^a\r\n\r\nb^,^c,\nd^^\ne^\r\n2,x^stray\r\n3,plain\r\n\r\n^k^,^m\nn^o\r\n4,end\r\n'
+
+
+@pytest.mark.parametrize("block", [None, 8])
+def test_line_breaks_inside_quotes(spark, tmp_path, rows, block):
+    (tmp_path / "f.csv").write_bytes(BROKEN.encode("latin-1"))
+    (tmp_path / "g.csv").write_bytes(b"h1,h2\r\n9,^\xe9\n!^\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        f = DelimitedFile(spark, str(tmp_path)).remove_malformed_rows()
+        want = [("1", "two\nlines"), ("3", "plain"), ("4", "end"), ("9", "\u00e9\n!"), ("a\r\n\r\nb", "c,\nd^\ne")]
+        assert rows(f.load()) == want
+        assert rows(f.rejected()) == [("2,x^stray",), ("^k^,^m\nn^o",)]
+        scrubbed = DelimitedFile(spark, str(tmp_path / "f.csv")).remove_expression("lain|stra").remove_malformed_rows()
+        assert ("3", "p") in rows(scrubbed.load()) and rows(scrubbed.rejected())[0] == ("2,x^y",)
+        lines = DelimitedFile(spark, str(tmp_path / "f.csv"), multi_line=False).remove_malformed_rows()
+        assert rows(lines.load()) == [("3", "plain"), ("4", "end")] and lines.malformed_count() == 9
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_wrong_width_raises_without_cleaning(spark, tmp_path):
     path = tmp_path / "f.txt"
     path.write_text("a,b\n1,2,3\n")
