@@ -24,29 +24,38 @@ _QUALIFIED = re.compile(r"\b[st]\.", re.I)
 SOURCE_ID, TARGET_ID, STEP = "working_source_id", "working_target_id", "match_step"
 
 
-def number_rows(df: DataFrame, key: str, name: str = SOURCE_ID, keys: DataFrame | None = None, rows_per_part: int = 1_000_000) -> DataFrame:
+def number_rows(df: DataFrame, key: str, name: str = SOURCE_ID, keys: DataFrame | None = None, rows_per_part: int = 50_000) -> DataFrame:
     """``df`` with consecutive numbers from 1 in the order of ``key``, NULL first.
 
-    A global ``row_number`` sorts everything in one task, and is used for no more than two parts
-    of ``rows_per_part``.  Larger frames are cut at up to 256 fixed bounds, drawn once from a few
-    thousand keys: a row's part depends on its key alone, so the counts per part, which shift the
-    numbers inside parts, hold however often the plan is run.  ``keys`` may give the same keys by
-    a cheaper plan than ``df``.
+    Rows are cut into parts of about ``rows_per_part``, at most four times the shuffle partitions,
+    at fixed bounds drawn once from some twenty keys per part: a row's part depends on its key
+    alone, so the counts per part, which shift the numbers inside parts, hold however often the plan
+    is run.  Bounds stand in two levels, so a row looks at no more than twice their square root.
+    ``keys`` may give the same keys by a cheaper plan than ``df``.
     """
     column = F.col(tick(key))
     order = column.asc_nulls_first()
     known = (keys if keys is not None else df).select(column.alias("_k"))
     n = known.count()
-    parts = min(256, n // rows_per_part)
+    parts = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part)
     if parts < 2:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("bigint"))
+        return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("bigint"))  # no more than two parts' rows
     step = max(1, n // (parts * 20))
     drawn = sorted(r["_k"] for r in known.where(F.col("_k").isNotNull() & (F.pmod(F.xxhash64("_k"), F.lit(step)) == 0)).distinct().collect())
-    bounds = F.array(*[F.lit(drawn[i * len(drawn) // parts]) for i in range(1, parts)]) if drawn else F.array()
-    part = lambda c: F.when(c.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x < c)))
+    bounds = [drawn[i * len(drawn) // parts] for i in range(1, parts)] if drawn else []
+    width = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    lead, fine = F.array(*[F.lit(g[-1]) for g in groups]), F.array(*[F.array(*map(F.lit, g)) for g in groups])
+
+    def part(c: Column) -> Column:
+        if not groups:
+            return F.when(c.isNull(), -1).otherwise(0)
+        coarse = F.size(F.filter(lead, lambda x: x < c))
+        return F.when(c.isNull(), -1).otherwise(coarse * width + F.coalesce(F.size(F.filter(F.get(fine, coarse), lambda x: x < c)), F.lit(0)))
+
     sizes = known.groupBy(part(F.col("_k")).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))  # at most 257 rows
+    shifts = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))  # one row per part
     rows = df.withColumn("_part", part(column)).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     return rows.join(shifts, "_part").select(*[F.col(tick(c)) for c in df.columns], (F.col("_shift") + F.col("_row")).alias(name))
 
@@ -105,46 +114,17 @@ def fuzzy_links(source: DataFrame, target: DataFrame, spec: MatchSpec, exact: Da
     rest = source.join(exact.select(F.col("sid").alias("_rm_done")), F.col(tick(sid)) == F.col("_rm_done"), "left_anti")
     out = []
     for column in spec.fuzzy_columns:
-        if any(mentions(text, "T") for _, text in spec.constraints):
-            found = _constrained_nearest(rest, pool, spec, column)
-        else:
-            free = rest
-            for c, text in spec.constraints:
+        free = rest
+        for c, text in spec.constraints:
+            if not mentions(text, "T"):
                 free = free.where(F.expr(template(text, tick(c))))
-            found = nearest_by_trigram(free, pool, sid, tid, column)
+        found = nearest_by_trigram(free, pool, sid, tid, column, [(c, text) for c, text in spec.constraints if mentions(text, "T")])
         out.append(found)
         pool = pool.join(found.select(F.col("tid").alias("_rm_used")).distinct(), F.col(tick(tid)) == F.col("_rm_used"), "left_anti")
         rest = rest.join(found.select(F.col("sid").alias("_rm_done")), F.col(tick(sid)) == F.col("_rm_done"), "left_anti")
     return out
 
 
-def _constrained_nearest(source: DataFrame, pool: DataFrame, spec: MatchSpec, column: str) -> DataFrame:
-    """As ``nearest_by_trigram`` where the constraints read target columns too: candidates are
-    joined on their rarest trigrams, checked against the constraints, then ranked."""
-    from .trigram import trigrams
-
-    cols = [c for c, _ in spec.constraints]
-    s = source.select(F.col(tick(spec.source_key)).alias("sid"), *[F.col(tick(c)) for c in dict.fromkeys(cols)], trigrams(F.col(tick(column)).cast("string")).alias("_g"))
-    t = pool.select(F.col(tick(spec.target_key)).alias("tid"), *[F.col(tick(c)) for c in dict.fromkeys(cols)], trigrams(F.col(tick(column)).cast("string")).alias("_g"))
-    both = s.select(F.explode("_g").alias("g")).unionByName(t.select(F.explode("_g").alias("g")))
-    counts = both.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        ordered = (
-            df.select(key, F.explode("_g").alias("g")).join(counts, "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-            .select(key, F.explode(F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") / 2) + 1).cast("int"))).alias("x"))
-        )
-        return ordered.select(key, F.col("x.g").alias("g"))
-
-    pairs = prefix(s, "sid").join(prefix(t, "tid"), "g").select("sid", "tid").distinct()
-    on = [F.expr(template(text, f"s.{tick(c)}", f"t.{tick(c)}")) for c, text in spec.constraints]
-    common = F.size(F.array_intersect("s._g", "t._g"))
-    total = F.size("s._g") + F.size("t._g")
-    checked = pairs.alias("p").join(s.alias("s"), F.col("p.sid") == F.col("s.sid")).join(t.alias("t"), F.col("p.tid") == F.col("t.tid")).where(reduce(lambda a, b: a & b, on)).where(3 * common > total)
-    ranked = checked.select(F.col("p.sid").alias("sid"), F.col("p.tid").alias("tid"), (common.cast("double") / (total - common)).alias("sim"))
-    return ranked.groupBy("sid").agg(F.min(F.struct((-F.col("sim")).alias("d"), "tid"))["tid"].alias("tid"))
-
-
 def match(source: DataFrame, target: DataFrame, spec: MatchSpec, numbered: bool = True) -> DataFrame:
     """Every source row with its link: ``working_source_id`` (if ``numbered``),
     ``working_target_id`` and ``match_step``.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..spec import template, tick
+
 
 def trigrams(text: Column) -> Column:
     """The set of trigrams of ``text``: words of letters and digits in lower case, each padded
@@ -24,48 +28,76 @@ def similarity(a: Column, b: Column) -> Column:
     return F.try_divide(common.cast("double"), (F.size(x) + F.size(y) - common).cast("double"))
 
 
-def nearest_by_trigram(source: DataFrame, target: DataFrame, source_id: str, target_id: str, column: str) -> DataFrame:
+#: Size class from which texts are not short: sets of 32 trigrams.
+SHORT = 5
+
+
+def text_key(column: Column) -> Column:
+    """A text's digest, by which it travels."""
+    return F.unhex(F.md5(column))
+
+
+def similar_texts(source: DataFrame, target: DataFrame, hot: int = 2_000) -> DataFrame:
+    """(st, tt, sim) for every pair of distinct texts that share over half of all their trigrams.
+
+    Both sides have ``k`` (``text_key``) and ``text``, one row per text.  With trigrams ordered from
+    rare to frequent, two such sets of n trigrams share their first common one early: within the
+    first ``n - ceil(n/2) + 1`` of either, and the second within one more; and their sizes differ by
+    less than a factor of two.  The index holds a digest of trigram and size class, with key and
+    length only.  For short texts, which are many and made of few trigrams, a trigram of more than
+    ``hot`` texts is indexed together with each trigram behind it, as any pair has at least two in
+    common.  Sets are fetched once per pair that is left.
+    """
+    sets = source.select("k", "text", F.lit(0).alias("side")).unionByName(target.select("k", "text", F.lit(1).alias("side"))).select("k", "side", trigrams(F.col("text")).alias("grams")).where(F.size("grams") > 0)
+    exploded = sets.select("k", "side", F.explode("grams").alias("g"))
+    counts = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    n, size = F.size("o"), F.col("n")
+    first = (size - F.ceil(size / 2) + 1).cast("int")
+    ordered = exploded.join(counts, "g").groupBy("k", "side").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o")).withColumn("n", n)
+    level = F.floor(F.log2("n")).cast("int")
+    ordered = ordered.select("k", "side", "n", F.slice("o", F.lit(1), first + 1).alias("o"), first.alias("first"), F.when(F.col("side") == 0, F.array(level - 1, level, level + 1)).otherwise(F.array(level)).alias("cs"))
+
+    def keys(x: Column, i: Column) -> Column:
+        """Index keys of the trigram at place ``i``: itself, or if it is hot one per size class the
+        other set may have, and for short texts one per trigram behind it."""
+        behind = lambda c: F.transform(F.slice("o", i + 2, F.size("o")), lambda y: F.xxhash64(x["g"], y["g"], c))
+        split = F.flatten(F.transform("cs", lambda c: F.when(c < SHORT, behind(c)).otherwise(F.array(F.xxhash64(x["g"], c)))))
+        return F.transform(F.when(x["df"] > hot, split).otherwise(F.array(F.xxhash64(x["g"]))), lambda k: F.struct(k.alias("key"), i.alias("p")))
+
+    entries = F.flatten(F.transform(F.slice("o", F.lit(1), F.col("first")), keys))
+    rows = ordered.select("k", "side", "n", F.explode(entries).alias("e"))
+    a = rows.where("side = 0").select("e.key", F.col("e.p").alias("sp"), F.col("k").alias("st"), F.col("n").alias("sn"))
+    b = rows.where("side = 1").select("e.key", F.col("e.p").alias("tp"), F.col("k").alias("tt"), F.col("n").alias("tn"))
+    # At their first common trigram two sets can still share what stands behind it in both.
+    met = a.join(b, "key").where("sn < 2 * tn AND tn < 2 * sn AND 3 * least(sn - sp, tn - tp) > sn + tn").select("st", "tt").distinct()
+    grams = lambda side, k, name: sets.where(f"side = {side}").select(F.col("k").alias(k), F.col("grams").alias(name))
+    both = met.join(grams(0, "st", "sg"), "st").join(grams(1, "tt", "tg"), "tt")
+    both = both.select("st", "tt", F.size("sg").alias("sn"), F.size("tg").alias("tn"), F.size(F.array_intersect("sg", "tg")).alias("common")).where("3 * common > sn + tn")
+    return both.select("st", "tt", (F.col("common").cast("double") / (F.col("sn") + F.col("tn") - F.col("common"))).alias("sim"))
+
+
+def nearest_by_trigram(source: DataFrame, target: DataFrame, source_id: str, target_id: str, column: str, constraints: Sequence[tuple[str, str]] = (), hot: int = 2_000) -> DataFrame:
     """For each source row the most similar target row, if over half of all trigrams are shared.
 
     Returns ``source_id`` as ``sid`` and ``target_id`` as ``tid``; ties go to the smallest
-    target id.  Each distinct text is compared once.  Prefix filtering bounds the index: with
-    trigrams ordered from rare to frequent, two sets that share more than half of their union
-    must share one of the first ``n - ceil(n/2) + 1`` of either, early enough for the rest to hold
-    the overlap, and their sizes differ by less than a factor of two.  Rows are joined on those
-    trigrams only and verified on the sets.
+    target id.  Texts are compared once, whatever the number of their rows.  ``constraints`` are
+    (column, condition) with ``$S`` and ``$T`` for the column on either side; rows that agree in
+    the text and in all that the conditions read stand for one another.
     """
+    names = list(dict.fromkeys(c for c, _ in constraints))
+
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
-        text = F.col(column).cast("string")
-        short = F.when(F.length("full") <= 64, F.col("full")).otherwise(F.sha2(F.col("full"), 256))
-        return df.select(F.col(key).alias(name), text.alias("full")).where("full IS NOT NULL").withColumn("txt", short)
-
-    s = side(source, source_id, "sid")
-    t = side(target, target_id, "tid").groupBy("txt").agg(F.min("tid").alias("tid"), F.first("full").alias("full"))
-    texts = s.groupBy("txt").agg(F.first("full").alias("full")).withColumn("side", F.lit(0)).unionByName(t.select("txt", "full", F.lit(1).alias("side")))
-    sets = texts.select("txt", "side", trigrams(F.col("full")).alias("grams")).where(F.size("grams") > 0)
-    exploded = sets.select("txt", "side", F.explode("grams").alias("g"))
-    counts = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        exploded.join(counts, "g")
-        .groupBy("txt", "side")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"]).alias("grams"))
-        .withColumn("n", F.size("grams"))
-    )
-    prefix = ordered.select("*", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") / 2) + 1).cast("int"))).alias("p", "g"))
-    a = prefix.where("side = 0").select("g", F.col("p").alias("sp"), F.col("txt").alias("st"), F.col("grams").alias("sg"), F.col("n").alias("sn"))
-    b = prefix.where("side = 1").select("g", F.col("p").alias("tp"), F.col("txt").alias("tt"), F.col("grams").alias("tg"), F.col("n").alias("tn"))
-    # At their first common trigram two sets can still share what stands behind it in both.
-    pairs = (
-        a.join(b, "g")
-        .where("sn < 2 * tn AND tn < 2 * sn AND 3 * least(sn - sp, tn - tp) > sn + tn")
-        .select("st", "tt", "sn", "tn", F.size(F.array_intersect("sg", "tg")).alias("common"))
-        .where("3 * common > sn + tn")
-    )
-    ids = t.select(F.col("txt").alias("tt"), "tid")
-    best = (
-        pairs.join(ids, "tt")
-        .select("st", "tid", (F.col("common").cast("double") / (F.col("sn") + F.col("tn") - F.col("common"))).alias("sim"))
-        .groupBy("st")
-        .agg(F.min(F.struct((-F.col("sim")).alias("d"), "tid"))["tid"].alias("tid"))
-    )
-    return s.join(best, s["txt"] == best["st"]).select("sid", "tid")
+        text = F.col(tick(column)).cast("string")
+        return df.select(F.col(tick(key)).alias(name), text.alias("text"), F.struct(F.lit(1).alias("one"), *[F.col(tick(c)) for c in names]).alias("c")).where("text IS NOT NULL").withColumn("k", text_key(F.col("text")))
+
+    s, t = side(source, source_id, "sid"), side(target, target_id, "tid")
+    texts = lambda df: df.groupBy("k").agg(F.any_value("text").alias("text"))
+    pairs = similar_texts(texts(s), texts(t), hot)
+    reduced = t.groupBy(F.col("k").alias("tt"), F.col("c").alias("t")).agg(F.min("tid").alias("tid"))
+    asked = s.select(F.col("k").alias("st"), F.col("c").alias("s")).distinct()
+    found = pairs.join(asked, "st").join(reduced, "tt")
+    for c, text in constraints:
+        found = found.where(F.expr(template(text, f"s.{tick(c)}", f"t.{tick(c)}")))
+    best = found.groupBy(F.col("st").alias("k"), F.col("s").alias("c")).agg(F.min(F.struct((-F.col("sim")).alias("d"), "tid"))["tid"].alias("tid"))
+    rows = s.alias("x").join(best.alias("y"), (F.col("x.k") == F.col("y.k")) & F.col("x.c").eqNullSafe(F.col("y.c")))
+    return rows.select("sid", "tid")

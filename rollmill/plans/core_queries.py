@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EMAIL_FORM, date_or_null, election_name, email_valid, load_extension
+from ..jobs import DedupJob, DedupPlan, ImportJob, MergePlan
 from ..operators import audit
 from ..operators.dedup import check_links, collapse, dedup_links
 from ..operators.geo import prepare_for_geocoding
@@ -132,18 +133,27 @@ def match_join_table(spark: SparkSession, folder: str) -> DataFrame:
     return _links(match(source, target, spec))
 
 
+def _reviews(spark: SparkSession, folder: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Reviews that are not known to be verified, and verified ones: together the whole table."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), column, "is_verified")
+    return docs.where("NOT coalesce(is_verified, false)").drop("is_verified"), docs.where("is_verified").drop("is_verified")
+
+
 def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles of even documents linked to the most similar titles of odd ones."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "title")
-    linked = match(docs.where("id % 2 = 0"), docs.where("id % 2 = 1"), MatchSpec("id", "id").fuzzy("title"))
-    return _links(linked)
+    """Titles of other reviews linked to the most similar titles of verified ones."""
+    return _links(match(*_reviews(spark, folder, "title"), MatchSpec("id", "id").fuzzy("title")))
+
+
+def fuzzy_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts of other reviews linked to the most similar whole texts of verified ones."""
+    return _links(match(*_reviews(spark, folder, "text"), MatchSpec("id", "id").fuzzy("text")))
 
 
 def _misspelt(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All parts, a third of them with a letter too many, and all parts."""
     part = table(spark, folder, "part")
-    source = part.where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1_000_000).alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name"), F.col("p_brand").alias("brand"))
-    target = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
-    return source, target
+    source = part.select((F.col("p_partkey") + 1_000_000).alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"))
+    return source, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"))
 
 
 def fuzzy_after_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,6 +168,12 @@ def fuzzy_constrained(spark: SparkSession, folder: str) -> DataFrame:
     return _links(match(source, target, MatchSpec("id", "id").constrain("brand", "$T = $S").fuzzy("name")))
 
 
+def fuzzy_two_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Two trigram steps: what the first takes is gone from the candidates of the second."""
+    source, target = _misspelt(spark, folder)
+    return _links(match(source, target, MatchSpec("id", "id").exact("name", "brand").fuzzy("name", "kind")))
+
+
 # -- upsert -----------------------------------------------------------------------------------
 
 _KEEP = MergeSpec(preserved=frozenset({"id"}), excluded=frozenset({"bucket"}), constraints=(("name", "$S IS NOT NULL"),))
@@ -189,6 +205,22 @@ def merge_expressions(spark: SparkSession, folder: str) -> DataFrame:
     return _merged(spark, folder, _KEEP.merge_column_as("balance", "$S + $T").insert_column_as("balance", "$S * 2").insert_column_as("old_balance", "s.balance - 1")).target
 
 
+def merge_generated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """New rows get keys that count on from the target's largest, in the order of the source."""
+    return _merged(spark, folder, MergeSpec(_KEEP.excluded, _KEEP.preserved, constraints=_KEEP.constraints, generate_key=True)).target
+
+
+def merge_returned_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated keys, returned to the source rows they were made for."""
+    rules = MergeSpec(_KEEP.excluded, _KEEP.preserved, constraints=_KEEP.constraints, generate_key=True).return_value("t.id", "written_id")
+    return _merged(spark, folder, rules).source.select("id", "written_id")
+
+
+def merge_neither(spark: SparkSession, folder: str) -> DataFrame:
+    """Update-only and insert-only at once leave the target as it is."""
+    return _merged(spark, folder, MergeSpec(_KEEP.excluded, _KEEP.preserved, constraints=_KEEP.constraints, update_only=True, insert_only=True)).target
+
+
 def merge_return_values(spark: SparkSession, folder: str) -> DataFrame:
     """Values of the written rows, returned to the source."""
     rules = _KEEP.return_value("t.id", "written_id").return_value("t.balance + s.balance", "both")
@@ -247,6 +279,42 @@ def audit_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_dedup(dedup_links(table(spark, folder, "part"), _PART), _PART)
 
 
+#: Parts point to the next dearer way round: any part of their brand and size that is not cheaper.
+_CHAINED = MatchSpec("p_partkey", "p_partkey").exact("p_brand", "p_size")
+_NOT_CHEAPER = (("p_retailprice", "$T >= $S"), ("p_partkey", "$T >= $S - 400"))
+
+
+def _chained(spark: SparkSession, folder: str) -> DataFrame:
+    """Links under a rule that lets parts match themselves and lead on to others."""
+    return dedup_links(table(spark, folder, "part"), _CHAINED, _NOT_CHEAPER)
+
+
+def dedup_checks_found(spark: SparkSession, folder: str) -> DataFrame:
+    return check_links(_chained(spark, folder), "p_partkey")
+
+
+def audit_dedup_found(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_dedup(_chained(spark, folder), _CHAINED)
+
+
+def _numbered_lines(spark: SparkSession, reports: list[str]) -> DataFrame:
+    return spark.createDataFrame([(n, i, x) for n, text in enumerate(reports) for i, x in enumerate(text.split("\n"))], "report long, position long, line string")
+
+
+def merge_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a job's audit of a merge with a trigram step."""
+    spec = _CASCADE.fuzzy("segment")
+    job = ImportJob(spark, lambda driver: [MergePlan(_source(spark, folder), _target(spark, folder), spec, _KEEP)])
+    return _numbered_lines(spark, job.perform_audit())
+
+
+def dedup_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a job's audit of two de-duplications, one with self-matches and chains."""
+    part = table(spark, folder, "part")
+    job = DedupJob(spark, lambda driver: [DedupPlan(part, _PART), DedupPlan(part, _CHAINED, orientation=_NOT_CHEAPER)])
+    return _numbered_lines(spark, job.perform_audit())
+
+
 # -- shaping and column copies ----------------------------------------------------------------
 
 
@@ -327,6 +395,18 @@ def geocode_prep(spark: SparkSession, folder: str) -> DataFrame:
     return prepare_for_geocoding(suppliers).select("s_suppkey", "needs_geocoding", "location_geometry")
 
 
+def geocode_absent(spark: SparkSession, folder: str) -> DataFrame:
+    """A table without coordinates: they are added empty, and every address needs geocoding."""
+    customers = table(spark, folder, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("residential_address1"))
+    return prepare_for_geocoding(customers)
+
+
+def table_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The declared columns of a working table, which of them are mapped, and its key."""
+    spec = TableSpec().map_column("order_id", "o_orderkey", "bigint").add_column("note").map_column("lines", expr="count(*)").add_column("votes", "int").set_primary_key("order_id", "bigint")
+    return spark.createDataFrame([(i, c, c in spec.mapped_column_names, c == spec.primary_key[0]) for i, c in enumerate(spec.column_names)], "position long, name string, mapped boolean, is_key boolean")
+
+
 def fn_election_name(spark: SparkSession, folder: str) -> DataFrame:
     load_extension(spark, "election_name")
     orders = table(spark, folder, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.element_at(F.array(*map(F.lit, ("PR", "ge", "PP", "sp", "XX"))), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("k"))
@@ -400,12 +480,12 @@ def queries() -> Queries:
     named = {
         f.__name__: f
         for f in (
-            exact_match, match_cascade, match_constrained, match_nested, foreign_key_match, match_join_table, fuzzy_match, fuzzy_after_exact, fuzzy_constrained,
-            merge_upsert, merge_update_only, merge_insert_only, merge_move_preserve, merge_expressions, merge_return_values,
-            dedup_collapse, dedup_oriented, dedup_checks, audit_merge, audit_dedup,
+            exact_match, match_cascade, match_constrained, match_nested, foreign_key_match, match_join_table, fuzzy_match, fuzzy_texts, fuzzy_after_exact, fuzzy_constrained, fuzzy_two_columns,
+            merge_upsert, merge_update_only, merge_insert_only, merge_move_preserve, merge_expressions, merge_generated_keys, merge_returned_keys, merge_neither, merge_return_values, merge_report,
+            dedup_collapse, dedup_oriented, dedup_checks, dedup_checks_found, audit_merge, audit_dedup, audit_dedup_found, dedup_report,
             map_columns, constrain_rows, group_records, copy_schema, map_column_expr, copy_column_multi_key,
             profile_key_uniqueness, profile_coverage, profile_distribution, profile_top_k, profile_total, profile_geocoding,
-            geocode_prep, fn_election_name, fn_date_or_null, fn_email_valid, fn_similarity, sql_passthrough,
+            geocode_prep, geocode_absent, table_columns, fn_election_name, fn_date_or_null, fn_email_valid, fn_similarity, sql_passthrough,
             malformed_rows, copy_sink, sql_count,
         )
     }
@@ -418,18 +498,24 @@ _GRAMS = (
 )
 
 
-def _fuzzy_sql(pool: str, rest: str, column: str, extra: str = "true") -> str:
+def _fuzzy_sql(pool: str, rest: str, column: str, extra: str = "true", tag: str = "") -> str:
     """CTEs z(sid, tid): the nearest row of ``pool`` for each row of ``rest``; texts compared once."""
-    return f"""sx AS (SELECT {column} x, {_GRAMS.format(column)} g FROM (SELECT DISTINCT {column} FROM {rest} WHERE {column} IS NOT NULL)),
-tx AS (SELECT {column} x, {_GRAMS.format(column)} g FROM (SELECT DISTINCT {column} FROM {pool} WHERE {column} IS NOT NULL)),
-se AS (SELECT x, len(g) n, unnest(g) t FROM sx), te AS (SELECT x, len(g) n, unnest(g) t FROM tx),
-pr AS (SELECT se.x sx, te.x tx, se.n a, te.n b, count(*) i FROM se JOIN te USING (t) GROUP BY ALL HAVING 3 * count(*) > se.n + te.n),
-z AS (SELECT sid, tid FROM (SELECT s.id sid, t.id tid, row_number() OVER (PARTITION BY s.id ORDER BY CAST(i AS DOUBLE) / (a + b - i) DESC, t.id) rn
-      FROM {rest} s JOIN pr ON s.{column} = pr.sx JOIN {pool} t ON t.{column} = pr.tx WHERE {extra}) WHERE rn = 1)"""
+    return f"""sx{tag} AS (SELECT {column} x, {_GRAMS.format(column)} g FROM (SELECT DISTINCT {column} FROM {rest} WHERE {column} IS NOT NULL)),
+tx{tag} AS (SELECT {column} x, {_GRAMS.format(column)} g FROM (SELECT DISTINCT {column} FROM {pool} WHERE {column} IS NOT NULL)),
+se{tag} AS (SELECT x, len(g) n, unnest(g) t FROM sx{tag}), te{tag} AS (SELECT x, len(g) n, unnest(g) t FROM tx{tag}),
+pr{tag} AS (SELECT s.x sx, e.x tx, s.n a, e.n b, count(*) i FROM se{tag} s JOIN te{tag} e USING (t) GROUP BY ALL HAVING 3 * count(*) > s.n + e.n),
+z{tag} AS (SELECT sid, tid FROM (SELECT s.id sid, t.id tid, row_number() OVER (PARTITION BY s.id ORDER BY CAST(i AS DOUBLE) / (a + b - i) DESC, t.id) rn
+      FROM {rest} s JOIN pr{tag} ON s.{column} = pr{tag}.sx JOIN {pool} t ON t.{column} = pr{tag}.tx WHERE {extra}) WHERE rn = 1)"""
+
 
+_MISSPELT = """src AS (SELECT p_partkey + 1000000 id, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS name, p_type kind, p_brand brand FROM part),
+tgt AS (SELECT p_partkey id, p_name AS name, p_type kind, p_brand brand FROM part)"""
+
+
+def _review_sql(column: str) -> str:
+    return f"""WITH src AS (SELECT doc_id id, {column} FROM documents WHERE NOT coalesce(is_verified, false)), tgt AS (SELECT doc_id id, {column} FROM documents WHERE is_verified), {_fuzzy_sql('tgt', 'src', column)}
+        {_NUMBERED}, tid AS working_target_id, CASE WHEN tid IS NOT NULL THEN 0 END AS match_step FROM src s LEFT JOIN z ON s.id = z.sid"""
 
-_MISSPELT = """src AS (SELECT p_partkey + 1000000 id, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS name, p_brand brand FROM part WHERE p_partkey % 2 = 0),
-tgt AS (SELECT p_partkey id, p_name AS name, p_brand brand FROM part WHERE p_partkey % 5 = 0)"""
 
 _NUMBERED = "SELECT s.id, row_number() OVER (ORDER BY s.id) AS working_source_id"
 _DATE_SQL = r"""strftime(coalesce(CASE WHEN regexp_matches(born_at, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$') THEN try_cast(born_at AS DATE) END,
@@ -439,6 +525,10 @@ _EMAIL_SQL = f"CASE WHEN email IS NULL OR email = '' THEN true ELSE length(email
 _ELECTION = "CASE o_orderkey % 5 WHEN 0 THEN '_primary' WHEN 1 THEN '_general' WHEN 2 THEN '_presidential_primary' WHEN 3 THEN '_special' ELSE '_xx' END"
 
 
+_CHAIN_SQL = """ch AS (SELECT s.p_partkey k, min(t.p_partkey) tg FROM part s LEFT JOIN part t ON s.p_brand = t.p_brand AND s.p_size = t.p_size AND t.p_retailprice >= s.p_retailprice AND t.p_partkey >= s.p_partkey - 400 GROUP BY s.p_partkey),
+checks AS (SELECT count(tg) n, count(*) total, count(*) FILTER (k = tg) reflexive, (SELECT count(*) FROM ch a JOIN ch b ON a.tg = b.k WHERE b.tg IS NOT NULL AND a.k <> b.k) chained FROM ch)"""
+
+
 def _union(parts) -> str:
     return " UNION ALL ".join(parts)
 
@@ -463,15 +553,27 @@ def oracle_sql() -> dict[str, str]:
             {_cascade_sql(['s.o_custkey = t.id AND s.status = t.status', 's.o_custkey = t.id'])} {_LINKS}""",
         "match_join_table": f"""WITH src AS (SELECT s_suppkey id, s_nationkey nation FROM supplier), tgt AS (SELECT c_custkey id, c_nationkey nation FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (1, 3)),
             {_cascade_sql(['s.nation = t.nation'])} {_LINKS}""",
-        "fuzzy_match": f"WITH src AS (SELECT doc_id id, title FROM documents WHERE doc_id % 2 = 0), tgt AS (SELECT doc_id id, title FROM documents WHERE doc_id % 2 = 1), {_fuzzy_sql('tgt', 'src', 'title')} {_NUMBERED}, tid AS working_target_id, CASE WHEN tid IS NOT NULL THEN 0 END AS match_step FROM src s LEFT JOIN z ON s.id = z.sid",
+        "fuzzy_match": _review_sql("title"),
+        "fuzzy_texts": _review_sql("text"),
         "fuzzy_after_exact": f"""WITH {_MISSPELT}, {_cascade_sql([same])}, pool AS (SELECT * FROM tgt WHERE id NOT IN (SELECT m FROM g0)), rest AS (SELECT * FROM src WHERE id NOT IN (SELECT sid FROM g0)), {_fuzzy_sql('pool', 'rest', 'name')}
             {_NUMBERED}, coalesce(g0.m, z.tid) AS working_target_id, CASE WHEN g0.m IS NOT NULL THEN 0 WHEN z.tid IS NOT NULL THEN 1 END AS match_step FROM src s LEFT JOIN g0 ON s.id = g0.sid LEFT JOIN z ON s.id = z.sid""",
+        "fuzzy_two_columns": f"""WITH {_MISSPELT}, {_cascade_sql([same])}, pool AS (SELECT * FROM tgt WHERE id NOT IN (SELECT m FROM g0)), rest AS (SELECT * FROM src WHERE id NOT IN (SELECT sid FROM g0)), {_fuzzy_sql('pool', 'rest', 'name')},
+            z1 AS (SELECT * FROM z), pool2 AS (SELECT * FROM pool WHERE id NOT IN (SELECT tid FROM z1)), rest2 AS (SELECT * FROM rest WHERE id NOT IN (SELECT sid FROM z1)), {_fuzzy_sql('pool2', 'rest2', 'kind', tag='2')}
+            {_NUMBERED}, coalesce(g0.m, z1.tid, z2.tid) AS working_target_id, CASE WHEN g0.m IS NOT NULL THEN 0 WHEN z1.tid IS NOT NULL THEN 1 WHEN z2.tid IS NOT NULL THEN 2 END AS match_step
+            FROM src s LEFT JOIN g0 ON s.id = g0.sid LEFT JOIN z1 ON s.id = z1.sid LEFT JOIN z2 ON s.id = z2.sid""",
         "fuzzy_constrained": f"WITH {_MISSPELT}, {_fuzzy_sql('tgt', 'src', 'name', 's.brand = t.brand')} {_NUMBERED}, tid AS working_target_id, CASE WHEN tid IS NOT NULL THEN 0 END AS match_step FROM src s LEFT JOIN z ON s.id = z.sid",
         "merge_upsert": _merge_sql(_UPDATE, _INSERT),
         "merge_update_only": _merge_sql(_UPDATE, None),
         "merge_insert_only": _merge_sql({}, _INSERT),
         "merge_move_preserve": _merge_sql({c: e for c, e in _UPDATE.items() if c != "segment"} | {"old_balance": "t.balance"}, _INSERT),
         "merge_expressions": _merge_sql(_UPDATE | {"balance": "u.balance + t.balance"}, _INSERT | {"balance": "balance * 2", "old_balance": "balance - 1"}),
+        "merge_generated_keys": _merge_sql(_UPDATE, _INSERT | {"id": "(SELECT max(id) FROM tgt) + row_number() OVER (ORDER BY working_source_id)"}),
+        "merge_returned_keys": f"""{cascade}, {_UPD}, f AS (SELECT id, (SELECT max(id) FROM tgt) + row_number() OVER (ORDER BY working_source_id) k FROM {_FRESH})
+            SELECT w.id, coalesce(u.working_target_id, f.k) AS written_id FROM w LEFT JOIN upd u ON u.id = w.id LEFT JOIN f ON f.id = w.id""",
+        "merge_neither": f"WITH {_CUST} SELECT * FROM tgt",
+        "merge_report": f"""{cascade}, pool AS (SELECT * FROM tgt WHERE id NOT IN (SELECT m FROM g0) AND id NOT IN (SELECT m FROM g1)), rest AS (SELECT * FROM src WHERE id NOT IN (SELECT sid FROM g0) AND id NOT IN (SELECT sid FROM g1)), {_fuzzy_sql('pool', 'rest', 'segment')},
+            counted AS (SELECT count(*) t, count(*) FILTER (match_step = 0) n0, count(*) FILTER (match_step = 1) n1, (SELECT count(*) FROM z) n2 FROM w) SELECT CAST(0 AS BIGINT) AS report, CAST(0 AS BIGINT) AS position, 'source rows: ' || t AS line FROM counted
+            {' '.join(f"UNION ALL SELECT 0, {i + 1}, 'group {i}: ' || n{i} || ' (' || printf('%.1f', 100.0 * n{i} / t) || ' %)' FROM counted" for i in range(3))}""",
         "merge_return_values": f"""{cascade}, {_UPD} SELECT w.id, w.working_target_id, CASE WHEN u.id IS NOT NULL THEN u.working_target_id WHEN f.id IS NOT NULL THEN f.id END AS written_id,
             CASE WHEN u.id IS NOT NULL THEN u.balance + u.balance WHEN f.id IS NOT NULL THEN f.balance + f.balance END AS "both"
             FROM w LEFT JOIN upd u ON u.id = w.id LEFT JOIN (SELECT * FROM {_FRESH}) f ON f.id = w.id""",
@@ -482,6 +584,14 @@ def oracle_sql() -> dict[str, str]:
         "dedup_checks": f"WITH {_PART_SQL} SELECT count(*) FILTER (p_partkey = tg) AS reflexive, (SELECT count(*) FROM m a JOIN m b ON a.tg = b.p_partkey WHERE b.tg IS NOT NULL AND a.p_partkey <> b.p_partkey) AS chained FROM m",
         "audit_merge": f"WITH {_CUST}, {nested} SELECT k AS match_step, count(w.id) AS n, (SELECT count(*) FROM w) AS total, count(w.id) / CAST((SELECT count(*) FROM w) AS DOUBLE) AS fraction FROM (VALUES (0), (1), (2)) v(k) LEFT JOIN w ON w.match_step = k GROUP BY k",
         "audit_dedup": f"WITH {_PART_SQL} SELECT 0 AS match_step, count(tg) AS n, count(*) AS total, count(tg) / CAST(count(*) AS DOUBLE) AS fraction, CAST(0 AS BIGINT) AS reflexive, CAST(0 AS BIGINT) AS chained FROM m",
+        "dedup_checks_found": f"WITH {_CHAIN_SQL} SELECT reflexive, chained FROM checks",
+        "audit_dedup_found": f"WITH {_CHAIN_SQL} SELECT 0 AS match_step, n, total, n / CAST(total AS DOUBLE) AS fraction, reflexive, chained FROM checks",
+        "dedup_report": f"""WITH {_PART_SQL}, {_CHAIN_SQL}, plain AS (SELECT count(tg) n, count(*) total, CAST(0 AS BIGINT) reflexive, CAST(0 AS BIGINT) chained FROM m),
+            r AS (SELECT CAST(0 AS BIGINT) report, * FROM plain UNION ALL SELECT 1, n, total, reflexive, chained FROM checks)
+            SELECT report, CAST(0 AS BIGINT) AS position, 'source rows: ' || total AS line FROM r UNION ALL SELECT report, 1, 'group 0: ' || n || ' (' || printf('%.1f', 100.0 * n / total) || ' %)' FROM r
+            UNION ALL SELECT report, 2, 'reflexive matches: ' || reflexive FROM r UNION ALL SELECT report, 3, 'chained matches: ' || chained FROM r""",
+        "geocode_absent": "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS residential_address1, CAST(NULL AS DECIMAL(38,18)) AS residential_lat, CAST(NULL AS DECIMAL(38,18)) AS residential_lng, c_mktsegment <> 'BUILDING' AS needs_geocoding, CAST(NULL AS VARCHAR) AS location_geometry FROM customer",
+        "table_columns": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'order_id', true, true), (1, 'note', false, false), (2, 'lines', true, false), (3, 'votes', false, false)) v(position, name, mapped, is_key)",
         "map_columns": "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_totalprice AS total, o_orderkey + 1 AS next_id, CAST(NULL AS VARCHAR) AS note, CAST(o_custkey AS INT) AS customer, CAST(NULL AS INT) AS votes FROM orders",
         "constrain_rows": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'",
         "group_records": 'SELECT l_orderkey AS order_id, count(*) AS "lines", max(l_quantity) AS most FROM lineitem WHERE l_linenumber < 6 GROUP BY l_orderkey',

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from rollmill.operators.dedup import DuplicateCycleError, check_links, collapse, dedup_links
 from rollmill.operators.match import match, number_rows
 from rollmill.operators.merge import merge
-from rollmill.operators.trigram import similarity
+from rollmill.operators.trigram import nearest_by_trigram, similar_texts, similarity, text_key
 from rollmill.spec import MatchSpec, MergeSpec
 
 S = "id long, k string, b string, v int"
@@ -135,3 +137,22 @@ def test_dedup_orientation(spark, rows):
     t = spark.createDataFrame([(1, "a", "x", 5), (2, "a", "x", 9), (3, "a", "x", 9)], S)
     links = dedup_links(t, MatchSpec("id", "id").exact("k"), (("v", "$T > $S"),))
     assert rows(links, "id", "working_target_id") == [(1, 2), (2, None), (3, None)]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 2_000])
+def test_similar_texts_against_all_pairs(spark, hot):
+    rng = random.Random(9)
+    words = "red green blue lamp lamps table tables chair chairs old new oak elm ash 12 7 a".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 4, 30)))) for _ in range(160)] + ["", "--", "x", "x y", "y x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(dict.fromkeys(texts))], "id long, text string").withColumn("k", text_key(F.col("text")))
+    a, b = df.where("id % 2 = 0"), df.where("id % 3 < 2")
+    got = {(bytes(r["st"]), bytes(r["tt"])): round(r["sim"], 9) for r in similar_texts(a, b, hot).collect()}
+    every = a.select(F.col("k").alias("st"), F.col("text").alias("x")).crossJoin(b.select(F.col("k").alias("tt"), F.col("text").alias("y"))).withColumn("sim", similarity(F.col("x"), F.col("y"))).where("sim > 0.5")
+    assert got == {(bytes(r["st"]), bytes(r["tt"])): round(r["sim"], 9) for r in every.collect()} and len(got) > 50
+
+
+def test_constrained_texts_repeat(spark, rows):
+    s = spark.createDataFrame([(1, "red lamp", "x"), (2, "red lamp", "y"), (3, "red lamp", None), (4, None, "x"), (5, "red lamps", "x")], "id long, t string, c string")
+    t = spark.createDataFrame([(10, "red lamp", "x"), (11, "red lamp", "x"), (12, "red lamps", "y"), (13, "green", "x")], "id long, t string, c string")
+    assert rows(nearest_by_trigram(s, t, "id", "id", "t", [("c", "$T = $S")])) == [(1, 10), (2, 12), (5, 10)]
+    assert nearest_by_trigram(s.limit(0), t, "id", "id", "t").count() == 0 and nearest_by_trigram(s, t.limit(0), "id", "id", "t").count() == 0
