@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ensure_on_workers
+from .blocks import grid_join
 from .people import county_digits, id_core, plain, read_date, split_name
 from .postal import read_address
 
@@ -206,30 +207,13 @@ def fit(patterns: pd.DataFrame, known: Mapping[str, tuple[float, ...]], rounds:
 
 
 def candidates(a: DataFrame, b: DataFrame, block: int = 1_000) -> DataFrame:
-    """Distinct (a_id, profile) that share a key of some blocking pass.
+    """Distinct (a_id, profile) that share a key of some blocking pass, every pair of a key.
 
-    Every pair of a key is proposed.  A key of more than ``block`` x ``block`` pairs is joined in a
-    grid: each side is cut into parts of about ``block`` records, and every part meets every part of
-    the other side, so no task holds all pairs of a key.  ``block`` changes the plan, not the pairs.
+    ``block`` is that of ``grid_join``, which spreads the pairs of hot keys over tasks.
     """
     # Keys travel as 64-bit hashes: a collision proposes a pair more, which comparison turns down.
     keyed = lambda df, name: df.select(name, F.explode(blocking_keys()).alias("k")).select(name, F.xxhash64("k").alias("key"))
-    ka, kb = keyed(a.withColumnRenamed("id", "a_id"), "a_id"), keyed(b, "profile")
-    sides = ka.select("key", F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(kb.select("key", F.lit(0).alias("na"), F.lit(1).alias("nb")))
-    counts = sides.groupBy("key").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    many = counts.where(F.col("na") * F.col("nb") > block * block)
-    hot = cut(many.select("key", F.ceil(F.col("na") / block).alias("parts_a"), F.ceil(F.col("nb") / block).alias("parts_b")))
-    if hot.isEmpty():
-        return ka.join(kb, "key").select("a_id", "profile").distinct()
-
-    def grid(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        """Each record in its own part, once per part of the other side."""
-        parts = lambda n: F.coalesce(n, F.lit(1).cast("bigint"))
-        placed = side.join(hot, "key", "left")
-        return placed.select(name, "key", F.pmod(F.xxhash64(name), parts(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(other) - 1)).alias(other))
-
-    ga, gb = grid(ka, "a_id", "parts_a", "parts_b"), grid(kb, "profile", "parts_b", "parts_a")
-    return ga.join(gb, ["key", "parts_a", "parts_b"]).select("a_id", "profile").distinct()
+    return grid_join(keyed(a.withColumnRenamed("id", "a_id"), "a_id"), keyed(b, "profile"), "key", "a_id", "profile", block).select("a_id", "profile").distinct()
 
 
 def chance(a: DataFrame, b: DataFrame, draws: int = 5) -> dict[str, tuple[float, ...]]:

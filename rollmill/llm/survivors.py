@@ -1,8 +1,9 @@
 """The best representative of each group of duplicate records.
 
 ``duplicate_groups`` finds rows of one person within a table by keys that hold for one person
-only; ``survivors`` ranks the rows of each group by completeness, trust and recency with a
-deterministic tie-break, and ``best_per_field`` does so for each field by itself.  Ranking is a
+only.  ``ranking`` orders the rows of a group by completeness, trust and recency with a
+deterministic tie-break: ``survivors`` takes the first row, ``best_per_field`` the first row for
+each field by itself.  Ranking is a
 window of which only the first row stays, which Spark cuts inside the partitions before it
 shuffles: a group of a third of all rows sends one row per task.
 """
@@ -18,7 +19,9 @@ from pyspark.sql.window import Window
 
 from ..session import cut
 from ..spec import tick
+from .blocks import grid_join
 from .graph import components
+from .people import STANDIN_DATES
 
 #: Local parts of addresses that no person owns.
 STANDIN_LOCALS = ("noemail", "nomail", "donotmail", "donotemail", "none", "noone", "nobody", "unknown", "test", "na", "noreply", "no", "null", "refused", "email", "mail", "xx", "x")
@@ -49,27 +52,34 @@ def usable_address(value: Column) -> Column:
     return F.coalesce(text.rlike(r"\d") & text.rlike(r"[A-Za-z]{2}"), F.lit(False))
 
 
-def best_per_field(rows: DataFrame, group: str, id_col: str, usable: Mapping[str, Column], recency: str) -> DataFrame:
-    """(group, field_name, best_id): per group and field the row with the latest ``recency``
-    among those whose field is usable; ties go to the smallest id, a NULL time is the oldest.
-    Groups without a usable value have no row."""
+def ranking(complete: Column, trust: Column | None, recency: str, id_col: str) -> list[Column]:
+    """The order of representatives: most complete, most trusted, latest, then of the smallest id.
+    NULL trust and NULL times come last."""
+    trusted = [trust.desc_nulls_last()] if trust is not None else []
+    return [complete.desc(), *trusted, F.col(tick(recency)).desc_nulls_last(), F.col(tick(id_col))]
+
+
+def best_per_field(rows: DataFrame, group: str, id_col: str, usable: Mapping[str, Column], recency: str, trust: Column | None = None) -> DataFrame:
+    """(group, field_name, best_id): per group and field the first row by ``ranking``, where a row
+    is complete if its field is usable.  Groups without a usable value have no row."""
     fields = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), u.alias("usable")) for n, u in usable.items()]))
-    long = rows.select(F.col(tick(group)).alias("group"), F.col(tick(id_col)).alias("id"), F.col(tick(recency)).alias("at"), fields.alias("f")).where("f.usable")
-    first = Window.partitionBy("group", "field_name").orderBy(F.col("at").desc_nulls_last(), F.col("id"))
+    level = trust if trust is not None else F.lit(0)
+    # A row that is not complete never wins, so it need not travel.
+    long = rows.select(F.col(tick(group)).alias("group"), F.col(tick(id_col)).alias("id"), F.col(tick(recency)).alias("at"), level.alias("trust"), fields.alias("f")).where("f.usable")
+    first = Window.partitionBy("group", "field_name").orderBy(*ranking(F.col("f.usable").cast("int"), F.col("trust"), "at", "id"))
     ranked = long.withColumn("field_name", F.col("f.name")).withColumn("r", F.row_number().over(first)).where("r = 1")
     return ranked.select("group", "field_name", F.col("id").alias("best_id"))
 
 
 def survivors(rows: DataFrame, group: str, id_col: str, usable: Mapping[str, Column], recency: str, trust: Column | None = None) -> DataFrame:
-    """One record per group: the row with most usable fields, then of most trust, then the
-    latest, then of the smallest id, with each field replaced by the group's best value for it.
+    """One record per group: the first row by ``ranking``, where a row is the more complete the more
+    fields it has usable, with each field replaced by the value of ``best_per_field``.
 
     All columns of the row are kept; a field no row of the group can fill is NULL.
     """
     score = reduce(lambda a, b: a + b, [F.when(u, 1).otherwise(0) for u in usable.values()])
-    order = [score.desc(), (trust if trust is not None else F.lit(0)).desc_nulls_last(), F.col(tick(recency)).desc_nulls_last(), F.col(tick(id_col))]
-    base = rows.withColumn("_r", F.row_number().over(Window.partitionBy(tick(group)).orderBy(*order))).where("_r = 1").drop("_r")
-    best = best_per_field(rows, group, id_col, usable, recency)
+    base = rows.withColumn("_r", F.row_number().over(Window.partitionBy(tick(group)).orderBy(*ranking(score, trust, recency, id_col)))).where("_r = 1").drop("_r")
+    best = best_per_field(rows, group, id_col, usable, recency, trust)
     values = rows.select(F.col(tick(id_col)).alias("_rm_best"), *[F.col(tick(n)).alias(f"_v_{n}") for n in usable])
     best = best.withColumnsRenamed({"group": "_rm_group", "best_id": "_rm_best", "field_name": "_rm_field"})
     wide = best.join(values, "_rm_best").groupBy("_rm_group").agg(*[F.max(F.when(F.col("_rm_field") == n, F.col(f"_v_{n}"))).alias(f"_b_{n}") for n in usable])
@@ -85,33 +95,38 @@ def _id(column: Column) -> Column:
     return F.nullif(F.regexp_replace(F.upper(column), r"[^0-9A-Z]", ""), F.lit(""))
 
 
-def duplicate_groups(voters: DataFrame) -> DataFrame:
+def duplicate_groups(voters: DataFrame, block: int = 1_000) -> DataFrame:
     """(id, component): rows of one voter share a component, named by their smallest id.
 
     Rows are one voter's if they agree in county id or state id, however written; or in birth
     date and in first or family name, the other name and the middle initial being compatible,
-    if nothing contradicts: state ids, registration dates.  Names are compatible if equal, one
-    slip apart, or one a short form of the other.  Rows with a birth date missing need equal
-    names, county and registration date.  Equal profiles are reduced before any are compared.
+    if nothing contradicts: state ids, county ids of one county, registration dates.  Names are
+    compatible if equal, one slip apart, or one a short form of the other.  Rows with a birth date
+    missing need equal names, county and registration date.  Dates that stand for a missing one
+    count as missing.  Equal profiles are reduced before any are compared; the pairs of a birth
+    date and name that many profiles share are spread over tasks (``block`` of ``grid_join``).
     """
+    born = F.col("born_at").cast("date")
+    county = F.upper(F.trim("county_code"))
     v = voters.select(
         F.col("id"),
-        F.concat(F.upper(F.trim("county_code")), F.lit("/"), _id(F.col("county_file_id"))).alias("ck"),
+        F.concat(county, F.lit("/"), _id(F.col("county_file_id"))).alias("ck"),
         _id(F.col("state_file_id")).alias("sk"),
         _plain(F.col("first_name")).alias("f"),
         F.substring(_plain(F.col("middle_name")), 1, 1).alias("m"),
         _plain(F.col("last_name")).alias("l"),
-        F.col("born_at").alias("b"),
+        F.when(~born.cast("string").isin(*sorted(STANDIN_DATES)), born).alias("b"),
         F.col("registered_at").alias("g"),
-        F.upper(F.trim("county_code")).alias("c"),
+        county.alias("c"),
     ).where("id IS NOT NULL")
     v = cut(v)
     profile = ["f", "m", "l", "b", "g", "c"]
-    # A profile with one known state id stands for all its rows, with none for those without.
-    named = v.where("f <> '' AND l <> ''").groupBy(*profile, "sk").agg(F.min("id").alias("id"))
+    ids = ["sk", "ck"]
+    # A profile with the ids it is known by stands for all its rows, with none for those without.
+    named = v.where("f <> '' AND l <> ''").groupBy(*profile, *ids).agg(F.min("id").alias("id"))
     keyed = named.select(
         "id",
-        "sk",
+        *ids,
         *profile,
         F.explode(
             F.filter(
@@ -124,21 +139,16 @@ def duplicate_groups(voters: DataFrame) -> DataFrame:
             )
         ).alias("key"),
     )
-    cols = ["id", "sk", *profile]
-    a, b = keyed.select("key", *[F.col(c).alias(f"a_{c}") for c in cols]), keyed.select("key", *[F.col(c).alias(f"b_{c}") for c in cols])
+    cols = ["id", *ids, *profile]
+    side = lambda x: keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in cols])
     agrees = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(True))
     middle = (F.col("a_m") == F.col("b_m")) | (F.col("a_m") == "") | (F.col("b_m") == "")
-    pairs = a.join(b, "key").where(F.col("a_id") < F.col("b_id")).where(agrees("sk") & agrees("g") & agrees("b") & middle)
+    registered = agrees("ck") | (F.col("a_c") != F.col("b_c"))
+    pairs = grid_join(side("a"), side("b"), "key", "a_id", "b_id", block).where(F.col("a_id") < F.col("b_id")).where(agrees("sk") & registered & agrees("g") & agrees("b") & middle)
     pairs = pairs.where(_alike("f") & _alike("l"))
-    linked = pairs.select("a_id", "b_id").distinct().withColumn("key", F.concat_ws("-", F.lit("p"), "a_id", "b_id"))
-    same = v.where("f <> '' AND l <> '' AND (b IS NOT NULL OR g IS NOT NULL)").select("id", F.concat_ws("/", F.lit("e"), "f", "m", "l", "b", "g", "c", F.coalesce("sk", F.lit("-"))).alias("key"))
-    members = (
-        v.select("id", F.concat(F.lit("k"), "ck").alias("key"))
-        .unionByName(v.select("id", F.concat(F.lit("s"), "sk").alias("key")))
-        .unionByName(same)
-        .unionByName(linked.select(F.col("a_id").alias("id"), "key"))
-        .unionByName(linked.select(F.col("b_id").alias("id"), "key"))
-    )
+    linked = pairs.select(F.concat_ws("-", F.lit("p"), "a_id", "b_id").alias("key"), F.explode(F.array("a_id", "b_id")).alias("id"))
+    same = v.where("f <> '' AND l <> '' AND (b IS NOT NULL OR g IS NOT NULL)").select("id", F.concat_ws("/", F.lit("e"), "f", "m", "l", F.coalesce(F.col("b").cast("string"), F.lit("-")), F.coalesce(F.col("g").cast("string"), F.lit("-")), "c", F.coalesce("sk", F.lit("-")), F.coalesce("ck", F.lit("-"))).alias("key"))
+    members = v.select("id", F.concat(F.lit("k"), "ck").alias("key")).unionByName(v.select("id", F.concat(F.lit("s"), "sk").alias("key"))).unionByName(same).unionByName(linked.select("id", "key"))
     return components(members)
 
 
@@ -160,4 +170,4 @@ def groups_of(rows: DataFrame, labels: DataFrame, id_col: str = "id", name: str
     return rows.drop(name).join(kept, F.col(tick(id_col)) == F.col("_rm_id")).drop("_rm_id")
 
 
-__all__: Sequence[str] = ["best_per_field", "duplicate_groups", "groups_of", "survivors", "usable_address", "usable_email", "usable_phone"]
+__all__: Sequence[str] = ["best_per_field", "duplicate_groups", "groups_of", "ranking", "survivors", "usable_address", "usable_email", "usable_phone"]

@@ -287,6 +287,35 @@ def test_duplicate_groups(spark):
     assert duplicate_groups(spark.createDataFrame([], VOTER)).count() == 0
 
 
+def test_namesakes_are_not_duplicates(spark):
+    day = "1900-01-01"
+    data = [
+        # A date that stands for a missing one joins no namesakes, nor does one date and name under two ids of a county.
+        _v(1, "K1-0001", "NB01A", "John", None, "Smith", day, "2001-01-01"), _v(2, "K1-0002", None, "John", None, "Smith", day, "2001-01-01"),
+        _v(3, "K1-0003", None, "Rosa", None, "Quist", "1950-01-02"), _v(4, "K1-0004", None, "Rosa", None, "Quist", "1950-01-02"), _v(5, "K1-0003", None, "Rosa", None, "Qiust", "1950-01-02"),
+        _v(6, None, None, "Hugo", None, "Wendel", "1960-06-06"), _v(7, "K1-0007", None, "Hugo", None, "Wendel", "1960-06-06"),
+    ]
+    sets = {}
+    for r in duplicate_groups(spark.createDataFrame(data, VOTER)).collect():
+        sets.setdefault(r["component"], set()).add(r["id"])
+    assert sorted(map(sorted, sets.values())) == [[1], [2], [3, 5], [4], [6, 7]]
+
+
+def test_hot_birth_dates_keep_every_pair(spark, rows):
+    rng = random.Random(3)
+    names = ["petra", "perta", "pet", "rosa", "hugo", "hugh"]
+    data = [_v(i, None, None, rng.choice(names), rng.choice((None, "A", "B")), rng.choice(("quist", "quits", "marlow")), "1950-01-02", rng.choice((None, "2010-05-05", "2011-05-05"))) for i in range(150)]
+    df = spark.createDataFrame(data, VOTER)
+    assert rows(duplicate_groups(df, block=3), "id", "component") == rows(duplicate_groups(df), "id", "component")
+
+
+def test_ranking_prefers_complete_then_trusted_then_recent(spark, rows):
+    at = lambda d: dt.datetime(2020, 1, d)
+    t = spark.createDataFrame([(1, 1, "a1", "b", 1, at(1)), (1, 2, "a2", None, 9, at(9)), (2, 3, "a3", "b", 1, at(9)), (2, 4, "a4", "b", 2, at(1)), (3, 6, "a6", None, 1, at(2)), (3, 5, "a5", None, 1, at(2)), (3, 7, "a7", None, 1, at(1))], "g long, id long, a string, b string, t int, at timestamp")
+    usable = {c: F.col(c).isNotNull() for c in "ab"}
+    assert rows(survivors(t, "g", "id", usable, "at", F.col("t")), "g", "id", "a", "b") == [(1, 1, "a2", "b"), (2, 4, "a4", "b"), (3, 5, "a5", None)]
+
+
 def test_names_and_dates():
     assert split_name("Quist, Petra F") == [("petra", "f", "quist")] and split_name("PETRA QUIST") == [("petra", "", "quist"), ("quist", "", "petra")]
     assert split_name("Emil De Marlo")[0] == ("emil", "", "demarlo") and split_name(None) == [] and split_name("Éva") == [("", "", "eva")]
