@@ -113,6 +113,9 @@ def _allowed() -> np.ndarray:
 
 
 _ALLOWED = _allowed()
+#: Numbers of the labels that begin a mention of each kind, that go on in it, and that follow any label.
+_BEGIN, _INSIDE = np.arange(1, len(LABELS), 2), np.arange(2, len(LABELS), 2)
+_FREE = np.concatenate([[0], _BEGIN])
 _NEVER = np.float32(-1e4)
 
 
@@ -265,17 +268,19 @@ def decode(model: Crf, sequences: Sequence[np.ndarray], tables: np.ndarray, room
     """Best labels of each sequence of key numbers.
 
     Sequences of like length go together.  Most of a text can hold no mention: against the path
-    that labels everything O, a stretch of other labels, which begins with a B, gains at most what
-    its tokens and the best transitions into them gain.  Only tokens in some stretch with a positive bound, and their
-    neighbours, go through Viterbi; the result is that of the whole chain.
+    that labels everything O, a stretch of mentions gains at most what its tokens and the best
+    transitions into their labels gain, where the inside of a kind follows that kind only.  Only
+    tokens in some stretch with a positive bound, and their neighbours, go through Viterbi; the
+    result is that of the whole chain.
     """
     out = [np.zeros(len(s), dtype=np.int8) for s in sequences]
     order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
     none, pad = tables.shape[1] - 1, max(map(abs, OFFSETS))
-    # Best transition into each label and out of any, against staying with O.
+    # Best transitions into the begin and inside of each kind, and out of any, against staying with O.
     step = model.transitions - model.transitions[0, 0]
-    entry, leave = step.max(0)[1:], max(0.0, float(step[1:, 0].max()))
-    start = np.maximum(model.start[1:] - model.start[0], entry)
+    entry, start = step[:, _BEGIN].max(0), model.start[_BEGIN] - model.start[0]
+    stay = np.maximum(step[_BEGIN, _INSIDE], step[_INSIDE, _INSIDE])
+    leave = max(0.0, float(step[1:, 0].max()))
     at = 0
     while at < len(order):
         stop = at + 1
@@ -292,17 +297,21 @@ def decode(model: Crf, sequences: Sequence[np.ndarray], tables: np.ndarray, room
         for o, offset in enumerate(OFFSETS[1:], 1):
             emit += tables[o][ids[pad + offset : pad + offset + longest]]
         inside = np.arange(longest)[:, None] < lengths
-        # What a token can gain over O: as the first of a mention, and anywhere in one.
-        over = emit[:, :, 1:] - emit[:, :, :1]
-        over[1:] += entry
-        over[0] += start
-        over[~inside] = -1e6
-        begin, any_label = over[:, :, 0::2].max(2), over.max(2)
-        left, right = begin.copy(), any_label.copy()
+        # What a token can gain over O as the first of a mention of each kind, and as a later one.
+        begin = emit[:, :, _BEGIN] - emit[:, :, :1] + entry
+        begin[0] += start - entry
+        go_on = emit[:, :, _INSIDE] - emit[:, :, :1] + stay
+        begin[~inside], go_on[~inside] = -1e6, -1e6
+        # The best stretch up to each token, and from it on, that has it in a mention of each kind;
+        # mentions may follow each other, but a kind goes on only in itself.
+        left, right = begin.copy(), np.zeros_like(begin)
         for t in range(1, longest):
-            np.maximum(left[t], left[t - 1] + any_label[t], out=left[t])
-            right[longest - 1 - t] += np.maximum(right[longest - t], 0)
-        maybe = (left + right - any_label + leave > -1e-3) & inside
+            left[t] += np.maximum(left[t - 1].max(1), 0)[:, None]
+            np.maximum(left[t], left[t - 1] + go_on[t], out=left[t])
+            u = longest - 1 - t
+            np.maximum(right[u], go_on[u + 1] + right[u + 1], out=right[u])
+            np.maximum(right[u], (begin[u + 1] + right[u + 1]).max(1)[:, None], out=right[u])
+        maybe = ((left + right).max(2) + leave > -1e-3) & inside
         if not maybe.any():
             continue
         wide = maybe.copy()
@@ -322,18 +331,25 @@ def _stretches(model: Crf, emit: np.ndarray, cols: np.ndarray, begins: np.ndarra
     stretch that does not begin its text follows an O, one that does not end it goes before one."""
     size = ends - begins
     order = np.argsort(size, kind="stable")
-    into = np.ascontiguousarray(model.transitions.T)[None]
+    free, first, again = model.transitions[:, _FREE], model.transitions[_BEGIN, _INSIDE], model.transitions[_INSIDE, _INSIDE]
     for part in np.array_split(order, max(1, len(order) // 2048)):
         n, longest, every = size[part], int(size[part].max()), np.arange(len(part))
         c, b = cols[part], begins[part]
         score = np.where((b == 0)[:, None], model.start, model.transitions[0]) + emit[b, c]
         back = np.zeros((longest, len(part), len(LABELS)), dtype=np.int8)
         for t in range(1, longest):
-            paths = score[:, None, :] + into
-            back[t] = paths.argmax(2)
-            on = t < n
-            nxt = paths.max(2) + emit[np.minimum(b + t, len(emit) - 1), c]
-            score = np.where(on[:, None], nxt, score)
+            best = score[:, :1] + free[0]
+            came = np.zeros(best.shape, dtype=np.int8)
+            for j in range(1, len(LABELS)):
+                path = score[:, j, None] + free[j]
+                came[path > best] = j
+                np.maximum(best, path, out=best)
+            fresh, old = score[:, _BEGIN] + first, score[:, _INSIDE] + again
+            nxt = np.empty_like(score)
+            nxt[:, _FREE], nxt[:, _INSIDE] = best, np.maximum(fresh, old)
+            back[t][:, _FREE], back[t][:, _INSIDE] = came, np.where(old > fresh, _INSIDE, _BEGIN)
+            nxt += emit[np.minimum(b + t, len(emit) - 1), c]
+            score = np.where((t < n)[:, None], nxt, score)
         after = ends[part] < lengths[c]
         now = (score + np.where(after[:, None], model.transitions[:, 0], 0)).argmax(1)
         path = np.empty((longest, len(part)), dtype=np.int8)
