@@ -28,7 +28,7 @@ from ..spec import tick
 _SPACE = r"\t-\r \u0085   -     　"
 
 #: The word pattern of the vocabularies, for the JVM's regular expressions.
-WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+WORD_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]++"
 
 #: A word is broadcast if it holds more than one in so many occurrences.
 COMMON = 20_000
