@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,25 +19,32 @@ PARTY_CODES = {
 }
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def squeezed(text: Column) -> Column:
     """Upper case, blanks squeezed to one and trimmed; NULL if nothing is left."""
     one = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-    return F.nullif(F.upper(one), F.lit(""))
+    return let(F.upper(one), lambda t: F.nullif(t, F.lit("")))
 
 
 def coded(text: Column, codes: Mapping[str, str] = PARTY_CODES) -> Column:
     """``squeezed``, with full names replaced by their codes."""
-    value = squeezed(text)
     table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, value), value)
+    return let(squeezed(text), lambda value: F.coalesce(F.try_element_at(table, value), value))
 
 
 def dated(text: Column) -> Column:
     """A date written ``yyyy-mm-dd`` (a time may follow), ``m/d/yyyy`` or ``yyyymmdd``, in ISO
     form; other text squeezed as it is, so that two unreadable dates compare as texts."""
-    raw = squeezed(text)
-    day = F.regexp_extract(raw, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d*)?)?)?$", 1)
-    iso = F.when(day != "", F.try_to_timestamp(day, F.lit("y-M-d")))
-    slashes = F.when(raw.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(raw, F.lit("M/d/y")))
-    compact = F.when(raw.rlike(r"^\d{8}$"), F.try_to_timestamp(raw, F.lit("yyyyMMdd")))
-    return F.coalesce(F.date_format(F.coalesce(iso, slashes, compact), "yyyy-MM-dd"), raw)
+    iso = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d*)?)?)?$"
+
+    def read(raw: Column) -> Column:
+        time = F.when(raw.rlike(iso), F.try_to_timestamp(F.regexp_extract(raw, iso, 1), F.lit("y-M-d")))
+        time = time.when(raw.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(raw, F.lit("M/d/y")))
+        time = time.when(raw.rlike(r"^\d{8}$"), F.try_to_timestamp(raw, F.lit("yyyyMMdd")))
+        return F.coalesce(F.date_format(time, "yyyy-MM-dd"), raw)
+
+    return let(squeezed(text), read)
