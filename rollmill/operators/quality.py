@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.canonical import let
 from ..spec import tick
 
 
@@ -21,7 +22,7 @@ class ColumnCheck:
     """A profiled column: ``well_formed`` and ``part`` are functions of the trimmed text.
 
     ``part`` is the coarse part whose distribution is compared (an area code, a domain, a
-    decade); it has few distinct values however large the load.
+    decade); its values are counted like others, and no task holds those of a load.
     """
 
     name: str
@@ -44,7 +45,7 @@ def contact_checks() -> tuple[ColumnCheck, ...]:
     """Checks of phone, email, gender and birth date columns delivered as text."""
     digits = lambda t: F.regexp_replace(t, r"\D", "")
     return (
-        ColumnCheck("phone", lambda t: t.rlike(r"^(\+?1[-. ]?)?(\(\d{3}\) ?|\d{3}[-. ]?)\d{3}[-. ]?\d{4}$"), lambda t: F.when(F.length(digits(t)) >= 10, F.substring(digits(t), -10, 3)).otherwise("short")),
+        ColumnCheck("phone", lambda t: t.rlike(r"^(\+?1[-. ]?)?(\(\d{3}\) ?|\d{3}[-. ]?)\d{3}[-. ]?\d{4}$"), lambda t: let(digits(t), lambda d: F.when(F.length(d) >= 10, F.substring(d, -10, 3)).otherwise("short"))),
         ColumnCheck("email", lambda t: t.rlike(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"), lambda t: F.when(t.contains("@"), F.lower(F.substring_index(t, "@", -1))).otherwise("none")),
         ColumnCheck("gender", lambda t: F.lower(t).isin(*GENDERS), lambda t: F.lower(t)),
         ColumnCheck("born_at", lambda t: _real_date(t).isNotNull(), lambda t: F.coalesce(F.floor(F.year(_real_date(t)) / 10).cast("string"), F.regexp_extract(t, r"\d{4}", 0))),
@@ -72,9 +73,12 @@ def described(counts: DataFrame, checks: Sequence[ColumnCheck]) -> DataFrame:
         here = F.col("column_name") == c.name
         fine, part = F.when(here, c.well_formed(text)).otherwise(fine), F.when(here, c.part(text)).otherwise(part)
     state = F.when(F.col("value").isNull(), "null").when(text == "", "blank").when(fine, "ok").otherwise("ill")
-    out = counts.withColumn("state", state)
-    held = F.col("state").isin("ok", "ill")
-    return out.withColumn("shape", F.when(held, value_shape(text))).withColumn("part", F.when(held, part))
+
+    def views(known: Column) -> Column:
+        held = known.isin("ok", "ill")
+        return F.struct(known.alias("state"), F.when(held, value_shape(text)).alias("shape"), F.when(held, part).alias("part"))
+
+    return counts.withColumn("_d", let(state, views)).select(*counts.columns, "_d.state", "_d.shape", "_d.part")
 
 
 def profile(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: str) -> DataFrame:
@@ -115,14 +119,17 @@ def _facets(d: DataFrame, least_weight: float) -> DataFrame:
     one pass over the described value counts."""
     key = ["feed", "load", "column_name"]
     held = F.col("state").isin("ok", "ill")
-    totals = d.where(held).groupBy(*key).agg(F.sum("n").alias("t"), F.max("n").alias("m")).where(_weight(F.col("m"), F.col("t")) >= least_weight)
-    heavy = d.where(held).join(totals, key).where(_weight(F.col("n"), F.col("t")) >= least_weight).select("feed", "column_name", "value").distinct()
+    totals = d.groupBy(*key).agg(F.sum("n").alias("rows"), F.sum(F.when(held, F.col("n"))).alias("t"), F.max(F.when(held, F.col("n"))).alias("m"))
+    repeating = totals.where(_weight(F.col("m"), F.col("t")) >= least_weight).drop("rows", "m")
+    heavy = d.where(held).join(repeating, key).where(_weight(F.col("n"), F.col("t")) >= least_weight).select("feed", "column_name", "value").distinct()
     marked = d.join(heavy.withColumn("kept", F.lit(True)), ["feed", "column_name", "value"], "left")
     view = lambda name, cell: F.struct(F.lit(name).alias("facet"), cell.alias("cell"))
     of_values = F.array(view("shape", F.col("shape")), view("part", F.col("part")), view("value", F.when(F.col("kept"), F.col("value")).otherwise(F.lit("~other"))))
     views = F.explode(F.concat(F.array(view("state", F.col("state"))), F.when(held, of_values).otherwise(F.slice(of_values, 1, 0))))
     cells = marked.select(*key, "n", views.alias("v")).groupBy(*key, "v.facet", "v.cell").agg(F.sum("n").alias("n"))
-    return cells.withColumn("t", F.sum("n").over(Window.partitionBy(*key, "facet")))
+    known = totals.select(*[F.col(c).alias(f"_{c}") for c in key], "rows", F.col("t").alias("held"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return cells.join(known, same).select(*key, "facet", "cell", "n", F.when(F.col("facet") == "state", F.col("rows")).otherwise(F.col("held")).alias("t"))
 
 
 def drift(table: DataFrame, checks: Sequence[ColumnCheck], feed: str, load: str, least_weight: float = 0.025) -> DataFrame:
