@@ -30,3 +30,19 @@ def grid_join(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, block:
 
     ga, gb = grid(a, a_id, "parts_a", "parts_b"), grid(b, b_id, "parts_b", "parts_a")
     return ga.join(gb, [key, "parts_a", "parts_b"]).drop("parts_a", "parts_b")
+
+
+def grid_self_join(df: DataFrame, key: str, id_col: str, block: int = 1_000) -> DataFrame:
+    """``df`` joined with itself on ``key`` as ``a`` and ``b``, every ordered pair once, as ``grid_join``.
+
+    Without hot keys both sides are one exchange.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(counts.where(F.col("n") > block).select(key, F.ceil(F.col("n") / block).alias("parts")))
+    if hot.isEmpty():
+        return df.alias("a").join(df.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"))
+    placed = df.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint"))).withColumn("own", F.pmod(F.xxhash64(id_col), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
+    a, b = placed.select(*df.columns, "own", other), placed.select(*df.columns, "own", other)
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+    return a.alias("a").join(b.alias("b"), on)

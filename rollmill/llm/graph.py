@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def components(members: DataFrame) -> DataFrame:
+def components(members: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, component) from rows (id, key): ids that share a key are connected.
 
+    ``ids`` may give all ids by a cheaper plan than ``members``, which is then run once.
+
     The component is named by its smallest id.  Keys stand between ids, so a key shared by many
     ids costs one row each and no pairs.  Each round takes the smallest label of every key and
     then of every id, both as aggregations that combine before they shuffle; a round that
     changes nothing is the last.  Only ids that share a key take part in rounds.  Labels are
     written to the shared folder after each round.
     """
-    everyone = cut(members.select("id").distinct())
+    everyone = cut((members if ids is None else ids).select("id").distinct())
     # Keys travel as digests of 16 bytes; keys of one id alone connect nothing.
     links = cut(members.where("key IS NOT NULL").select("id", F.unhex(F.md5(F.col("key").cast("string"))).alias("key")).distinct())
     shared = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")

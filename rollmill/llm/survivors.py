@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.canonical import let
 from ..session import cut
 from ..spec import tick
-from .blocks import grid_join
+from .blocks import grid_self_join
 from .graph import components
 from .people import STANDIN_DATES
 
@@ -33,7 +34,7 @@ def usable_phone(value: Column) -> Column:
     text = F.trim(value)
     shaped = text.rlike(r"^(\+?1[-. ]?)?(\(\d{3}\) ?|\d{3}[-. ]?)\d{3}[-. ]?\d{4}$")
     digits = F.substring(F.regexp_replace(text, r"\D", ""), -10, 10)
-    standin = digits.rlike(r"^(\d)\1{9}$") | digits.isin("1234567890", "0123456789", "9876543210") | digits.rlike(r"^(000|\d{3}000)")
+    standin = let(digits, lambda d: d.rlike(r"^(\d)\1{9}$|^(000|\d{3}000)") | d.isin("1234567890", "0123456789", "9876543210"))
     return F.coalesce(shaped & ~standin, F.lit(False))
 
 
@@ -92,7 +93,7 @@ def _plain(column: Column) -> Column:
 
 
 def _id(column: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.upper(column), r"[^0-9A-Z]", ""), F.lit(""))
+    return let(F.regexp_replace(F.upper(column), r"[^0-9A-Z]", ""), lambda t: F.nullif(t, F.lit("")))
 
 
 def duplicate_groups(voters: DataFrame, block: int = 1_000) -> DataFrame:
@@ -104,7 +105,7 @@ def duplicate_groups(voters: DataFrame, block: int = 1_000) -> DataFrame:
     compatible if equal, one slip apart, or one a short form of the other.  Rows with a birth date
     missing need equal names, county and registration date.  Dates that stand for a missing one
     count as missing.  Equal profiles are reduced before any are compared; the pairs of a birth
-    date and name that many profiles share are spread over tasks (``block`` of ``grid_join``).
+    date and name that many profiles share are spread over tasks (``block`` of ``grid_self_join``).
     """
     born = F.col("born_at").cast("date")
     county = F.upper(F.trim("county_code"))
@@ -139,23 +140,23 @@ def duplicate_groups(voters: DataFrame, block: int = 1_000) -> DataFrame:
             )
         ).alias("key"),
     )
-    cols = ["id", *ids, *profile]
-    side = lambda x: keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    agrees = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(True))
-    middle = (F.col("a_m") == F.col("b_m")) | (F.col("a_m") == "") | (F.col("b_m") == "")
-    registered = agrees("ck") | (F.col("a_c") != F.col("b_c"))
-    pairs = grid_join(side("a"), side("b"), "key", "a_id", "b_id", block).where(F.col("a_id") < F.col("b_id")).where(agrees("sk") & registered & agrees("g") & agrees("b") & middle)
-    pairs = pairs.where(_alike("f") & _alike("l"))
+    keyed = keyed.withColumn("key", F.xxhash64("key"))
+    agrees = lambda *names: reduce(lambda x, y: x & y, [F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(True)) for c in names])
+    same_key = F.expr("(a.b = b.b AND (a.l = b.l OR a.f = b.f)) OR (a.g = b.g AND a.c = b.c AND a.l = b.l AND a.f = b.f)")
+    middle = F.expr("a.m = b.m OR a.m = '' OR b.m = ''")
+    registered = agrees("ck") | (F.col("a.c") != F.col("b.c"))
+    pairs = grid_self_join(keyed, "key", "id", block).where(F.expr("a.id < b.id") & same_key & agrees("sk", "g", "b") & registered & middle & _alike("f") & _alike("l"))
+    pairs = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
     linked = pairs.select(F.concat_ws("-", F.lit("p"), "a_id", "b_id").alias("key"), F.explode(F.array("a_id", "b_id")).alias("id"))
     same = v.where("f <> '' AND l <> '' AND (b IS NOT NULL OR g IS NOT NULL)").select("id", F.concat_ws("/", F.lit("e"), "f", "m", "l", F.coalesce(F.col("b").cast("string"), F.lit("-")), F.coalesce(F.col("g").cast("string"), F.lit("-")), "c", F.coalesce("sk", F.lit("-")), F.coalesce("ck", F.lit("-"))).alias("key"))
     members = v.select("id", F.concat(F.lit("k"), "ck").alias("key")).unionByName(v.select("id", F.concat(F.lit("s"), "sk").alias("key"))).unionByName(same).unionByName(linked.select("id", "key"))
-    return components(members)
+    return components(members, v)
 
 
 def _alike(name: str) -> Column:
     """Equal, one slip apart (two for an exchange in a longer name), or one a short form, taken
     from the beginning or the end, of the other."""
-    x, y = F.col(f"a_{name}"), F.col(f"b_{name}")
+    x, y = F.col(f"a.{name}"), F.col(f"b.{name}")
     shorter = F.least(F.length(x), F.length(y))
     slip = (F.levenshtein(x, y, 2) >= 0) & (shorter >= 4) & ((F.levenshtein(x, y, 1) >= 0) | (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
     short = (shorter >= 2) & (F.startswith(x, y) | F.startswith(y, x) | ((shorter >= 3) & (F.endswith(x, y) | F.endswith(y, x))))

@@ -14,7 +14,7 @@ from held_out import held_out  # noqa: E402
 
 from rollmill.llm.graph import components  # noqa: E402
 from rollmill.llm.linkage import IDENTIFIERS, LEVELS, candidates, chance, fit, link, read_roll, read_voters  # noqa: E402
-from rollmill.llm.packing import nnls, pack, pack_histogram, slots  # noqa: E402
+from rollmill.llm.packing import _packed, nnls, pack, pack_histogram, slots  # noqa: E402
 from rollmill.llm.people import county_digits, read_date, split_name  # noqa: E402
 from rollmill.llm.pii import find_pii, mentions, redact, tags, train  # noqa: E402
 from rollmill.llm.pii_samples import labelled, split_patterns  # noqa: E402
@@ -85,6 +85,22 @@ def test_packing_holds_everything_close_to_the_bound(seed):
     assert sum(slots(p).groupby("size")["per"].count()) == len(slots(p))
 
 
+def test_fitted_patterns_beat_largest_first():
+    # 29 + 17 + 17 and 30 + 17 + 17 fill 64; largest first pairs 30 with 30 and 29 with 29 instead.
+    hist = {29: 137, 17: 261, 30: 114}
+    alone, best = _packed(hist, 64, 0, 0), pack_histogram(hist, 64)
+    assert (alone.containers, best.containers) == (213, 194)
+    rng = random.Random(1)
+    won = 0
+    for _ in range(60):
+        cap = rng.choice((64, 100, 128))
+        hist = {rng.randint(cap // 5, int(cap * 0.7)): rng.randint(50, 400) for _ in range(rng.choice((3, 5, 8)))}
+        a, b = _packed(hist, cap, 0, 0).containers, pack_histogram(hist, cap).containers
+        assert b <= a
+        won += b < a
+    assert won >= 5
+
+
 def test_packing_edges():
     assert pack_histogram({}, 10).containers == 0 and pack_histogram({10: 4}, 10).containers == 4 and pack_histogram({1: 7}, 1).containers == 7
     assert pack_histogram({6: 10**9, 4: 10**9}, 10).containers == 10**9
@@ -403,6 +419,32 @@ def test_pii_on_its_own_table_and_on_held_out_sentences():
     assert recall >= 0.9 and precision >= 0.95
 
 
+def test_decoding_equals_plain_viterbi():
+    import numpy as np
+
+    from rollmill.llm import pii
+
+    model = train()
+    texts = [t for t, _ in labelled(150, seed=99)] + [t for t, _ in held_out()] + [" ".join(t for t, _ in held_out())]
+    scorer = pii.Scorer(model)
+    sequences = scorer.numbers([pii.PIECE.findall(" " + t) for t in texts])
+    offsets, none = pii.OFFSETS, scorer.tables.shape[1] - 1
+    for ids, got in zip(sequences, pii.decode(model, sequences, scorer.tables), strict=True):
+        n = len(ids)
+        emit = sum(scorer.tables[o][[ids[i + d] if 0 <= i + d < n else none for i in range(n)]] for o, d in enumerate(offsets)).astype(float)
+        score, back = model.start + emit[0], []
+        for t in range(1, n):
+            paths = score[:, None] + model.transitions
+            back.append(paths.argmax(0))
+            score = paths.max(0) + emit[t]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path = path[::-1]
+        total = lambda p: model.start[p[0]] + sum(emit[i][x] for i, x in enumerate(p)) + sum(model.transitions[x, y] for x, y in zip(p, p[1:]))  # noqa: B023, E731
+        assert list(got) == path or abs(total(list(map(int, got))) - total(path)) < 1e-3
+
+
 def test_patterns_of_the_labelled_table():
     from rollmill.llm import pii_samples
 
