@@ -24,7 +24,7 @@ _QUALIFIED = re.compile(r"\b[st]\.", re.I)
 SOURCE_ID, TARGET_ID, STEP = "working_source_id", "working_target_id", "match_step"
 
 
-def number_rows(df: DataFrame, key: str, name: str = SOURCE_ID, keys: DataFrame | None = None, rows_per_part: int = 50_000) -> DataFrame:
+def number_rows(df: DataFrame, key: str, name: str = SOURCE_ID, keys: DataFrame | None = None, rows_per_part: int = 200_000) -> DataFrame:
     """``df`` with consecutive numbers from 1 in the order of ``key``, NULL first.
 
     Rows are cut into parts of about ``rows_per_part``, at most four times the shuffle partitions,
