@@ -60,8 +60,8 @@ class DelimitedFile:
             value = F.regexp_replace(value, regex, "")
         return value
 
-    def _lines(self, header: str | None = None) -> DataFrame:
-        """Lines as ``value``; below each file's header if that is given."""
+    def _lines(self, header: str | None = None, raw: bool = False) -> DataFrame:
+        """Lines as ``value``; below each file's header if that is given; as they are if ``raw``."""
         # One column and separators that no line has: the CSV source decodes any charset by lines.
         reader = self.spark.read.option("sep", "\u0000").option("quote", "\u0000").option("encoding", self.encoding).option("lineSep", "\n")
         name = "value"
@@ -69,17 +69,19 @@ class DelimitedFile:
             # Spark drops the first line of each file, and holds it against the name of the only column.
             name, reader = header, reader.option("header", True).option("enforceSchema", False)
         lines = reader.schema(T.StructType([T.StructField(name, T.StringType())])).csv(self.path).toDF("value")
-        return lines.select(self._scrubbed(F.regexp_replace("value", r"\r\z", "")).alias("value"))
+        return lines if raw else lines.select(self._scrubbed(F.regexp_replace("value", r"\r\z", "")).alias("value"))
 
     def _first_line(self) -> str:
-        row = replace(self, scrubs=())._lines().where("value IS NOT NULL AND value <> ''").first()
+        """The first line, with its carriage return if it has one."""
+        row = self._lines(raw=True).where("trim(value) NOT IN ('', '\r')").first()
         if row is None:
             raise ValueError(f"{self.path} has no header row")
         return row["value"]
 
     def header_line(self) -> str:
         """The header, scrubbed."""
-        return self.spark.range(1).select(self._scrubbed(F.lit(self._first_line()))).first()[0] if self.scrubs else self._first_line()
+        line = self._first_line().removesuffix("\r")
+        return self.spark.range(1).select(self._scrubbed(F.lit(line))).first()[0] if self.scrubs else line
 
     @property
     def headers(self) -> list[str]:
@@ -93,10 +95,7 @@ class DelimitedFile:
         Only files in which some quote stays open at the end of a line pay for putting lines
         together; others are read line by line, without a shuffle.
         """
-        first = self._first_line()
-        # The source compares headers with their carriage return, if they have one.
-        raw = self.spark.read.option("lineSep", "\n").text(self.path).where("value <> ''").first()["value"]
-        lines = self._lines(first + "\r" if raw.endswith("\r") else first).where("value <> ''")
+        lines = self._lines(self._first_line()).where("value <> ''")
         if not self.multi_line or lines.where(_left_open(F.col("value"), self.delimiter, self.quote)).isEmpty():
             return lines
         return self._joined()
@@ -109,6 +108,8 @@ class DelimitedFile:
         the file, in parallel, then the few blocks of each file; a record that crosses blocks gets
         the number of the record it began as.
         """
+        if re.match("utf.?(16|32)", self.encoding, re.I):
+            raise ValueError(f"records over several lines are not read in {self.encoding}; convert the file or set multi_line=False")
         d, q = self.delimiter, self.quote
         text = self.spark.read.option("lineSep", "\n").text(self.path)
         value = F.col("value") if self.encoding.upper().replace("-", "") == "UTF8" else F.decode(F.col("value").cast("binary"), self.encoding)

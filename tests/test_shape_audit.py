@@ -76,6 +76,16 @@ def test_rows_that_equal_the_header_stay(spark, tmp_path, rows):
         DelimitedFile(spark, str(tmp_path)).load().collect()
 
 
+def test_wide_encodings(spark, tmp_path, rows):
+    path = tmp_path / "f.csv"
+    path.write_bytes("a,b\r\n\u00e9,^x,y^\r\na,b\r\n".encode("utf-16-le"))
+    f = DelimitedFile(spark, str(path), encoding="UTF-16LE", multi_line=False)
+    assert f.headers == ["a", "b"]
+    path.write_text("a,b\n1,^x\ny^\n")
+    with pytest.raises(ValueError):
+        DelimitedFile(spark, str(path), encoding="UTF-16LE")._joined()
+
+
 BROKEN = 'h1,h2\r\n1,^two\nlines^\r\n^a\r\n\r\nb^,^c,\nd^^\ne^\r\n2,x^stray\r\n3,plain\r\n\r\n^k^,^m\nn^o\r\n4,end\r\n'
 
 
