@@ -4,7 +4,8 @@ Both tables are brought to common attributes on the workers.  Several blocking p
 equality join on a key that few records share, propose candidate pairs; every pair is compared
 attribute by attribute on a few levels of agreement.  The counts of level patterns, whose number
 the levels bound, go to the driver, where expectation-maximisation estimates how often matches and
-non-matches show each level; for identifiers, how often non-matches do comes from random pairs.
+several kinds of non-matches show each level; for identifiers, how often non-matches do comes from
+random pairs, and pairs that agree on one show how matches look.
 The posterior probability of a match is the pair's confidence, and
 each record of the second table takes the pair of highest confidence.
 """
@@ -63,8 +64,9 @@ def read_voters(voters: DataFrame) -> DataFrame:
 _NAMES = [c.split()[0] for c in ATTRIBUTES.split(", ")]
 
 
-def read_roll(roll: DataFrame) -> DataFrame:
-    """(id, reading, attributes) of a roll with whole names: one row per way to read a name."""
+def read_rows(roll: DataFrame) -> DataFrame:
+    """(id, attributes, other) of a roll with whole names: the likelier reading of the name, and in
+    ``other`` the names of the second one, NULL where there is none."""
     cols = ["id", "full_name", "born_at", "county_file_id", "state_file_id", "county_code", "residential_address1", "gender"]
     picked = roll.select(F.col("roll_id").cast("bigint").alias("id"), *[F.col(c).cast("string").alias(c) for c in cols[1:]]).where("id IS NOT NULL")
 
@@ -72,11 +74,26 @@ def read_roll(roll: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, n, d, c, s, cc, a1, g in zip(*(b[c] for c in cols), strict=True):
-                for k, (first, middle, last) in enumerate(split_name(n) or [("", "", "")]):
-                    rows.append((i, k, *_row(first, middle, last, read_date(d), c, s, cc, a1, None, g)))
-            yield pd.DataFrame(rows, columns=["id", "reading", *_NAMES])
+                (first, middle, last), *more = split_name(n) or [("", "", "")]
+                f2, m2, l2 = more[0] if more else (None, None, None)
+                rows.append((i, *_row(first, middle, last, read_date(d), c, s, cc, a1, None, g), f2, m2 and m2[:1], l2))
+            yield pd.DataFrame(rows, columns=["id", *_NAMES, "f2", "m2", "l2"])
+
+    out = picked.mapInPandas(read, f"id bigint, {ATTRIBUTES}, f2 string, m2 string, l2 string")
+    other = F.when(F.col("l2").isNotNull(), F.struct(F.col("f2").alias("f"), F.col("m2").alias("m"), F.col("l2").alias("l")))
+    return out.select("id", *_NAMES, other.alias("other"))
+
 
-    return picked.mapInPandas(read, f"id bigint, reading int, {ATTRIBUTES}")
+def readings(rows: DataFrame) -> DataFrame:
+    """One row per way to read a name, numbered in ``reading``."""
+    kept = [c for c in rows.columns if c not in ("f", "m", "l", "other")]
+    names = F.filter(F.array(F.struct("f", "m", "l"), F.col("other")), lambda x: x.isNotNull())
+    return rows.select(*kept, F.posexplode(names).alias("reading", "name")).select(*kept, "reading", "name.*")
+
+
+def read_roll(roll: DataFrame) -> DataFrame:
+    """(id, reading, attributes) of a roll with whole names: one row per way to read a name."""
+    return readings(read_rows(roll)).select("id", "reading", *_NAMES)
 
 
 def blocking_keys() -> Column:
@@ -110,9 +127,9 @@ def _slip(x: Column, y: Column) -> Column:
     return (F.levenshtein(x, y, 1) >= 0) | ((F.levenshtein(x, y, 2) >= 0) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))))
 
 
-def comparisons() -> dict[str, Column]:
-    """Level of each comparison between the sides ``a`` and ``b`` of a pair; 1 is best."""
-    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+def comparisons(other: str = "b") -> dict[str, Column]:
+    """Level of each comparison between the sides ``a`` and ``other`` of a pair; 1 is best."""
+    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"{other}.{n}"))
 
     def level(name: str, *steps: Column) -> Column:
         out = F.when((a(name) == "") | (b(name) == ""), 0)
@@ -145,65 +162,107 @@ def comparisons() -> dict[str, Column]:
     }
 
 
+#: Kinds of candidates that are different people, and the comparisons that they start to share.
+#: Their shares among candidates shift with the size of the tables: namesakes grow as the product
+#: of both sides, matches as one of them.  The last kind is only of pairs that agree on an
+#: identifier: numbers may be given out or written down twice.
+OTHERS = (("address",), ("born",), ("last", "first"), IDENTIFIERS)
+
+
+def best_levels() -> list[Column]:
+    """The comparisons of a pair, names by the reading that agrees better: of a match the other one
+    would look like a pair of different names."""
+    one = comparisons()
+    two = {k: c for k, c in comparisons("b.other").items() if k in ("last", "first", "middle")}
+    better = F.col("b.other").isNotNull() & (two["last"] + two["first"] < one["last"] + one["first"])
+    return [(F.when(better, two[k]).otherwise(c) if k in two else c).alias(k) for k, c in one.items()]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Share of matches among candidates, and per comparison the log ratio of how often matches
-    and non-matches show each level."""
+    """Share of matches among candidates; share of each kind of non-matches among these; and per
+    comparison the log ratio of how often matches and non-matches of that kind show each level."""
 
     prior: float
+    shares: tuple[float, ...]
+    kinds: tuple[Mapping[str, tuple[float, ...]], ...]
     weights: Mapping[str, tuple[float, ...]]
 
     def posterior(self) -> Column:
-        log_odds = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for name, weights in self.weights.items():
-            log_odds = log_odds + F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col(name))
-        return 1 / (1 + F.exp(-log_odds))
+        against = F.lit(0.0)
+        for kind, share, weights in zip(OTHERS, self.shares, self.kinds, strict=True):
+            log_odds = F.lit(float(np.log(self.prior / (1 - self.prior)) - np.log(share)))
+            for name, w in weights.items():
+                log_odds = log_odds + F.get(F.array(*[F.lit(float(x)) for x in w]), F.col(name))
+            agreed = F.greatest(*[(F.col(k) == 1) for k in IDENTIFIERS]) if kind == IDENTIFIERS else F.lit(True)
+            against = against + F.when(agreed, F.exp(-log_odds)).otherwise(0.0)
+        return 1 / (1 + against)
 
 
-def fit(patterns: pd.DataFrame, known: Mapping[str, tuple[float, ...]], rounds: int = 200, tolerance: float = 1e-7) -> Model:
+def fit(patterns: pd.DataFrame, known: Mapping[str, tuple[float, ...]], rounds: int = 500, tolerance: float = 1e-7, anchors: int = 30) -> Model:
     """Expectation-maximisation over counted patterns (one column per comparison, and ``n``).
 
-    Comparisons are taken as independent given the class; a missing level weighs nothing.
-    ``known`` has how often non-matches show each level of some comparisons, which stays as given.
-    Without patterns the model has a prior of one half and no weights.
+    Comparisons are taken as independent given the class, which is a match or a kind of
+    non-matches; a missing level weighs nothing.  ``known`` has how often non-matches show each
+    level of the identifiers, which stays as given.  How often matches show the levels of a
+    comparison is learnt from candidates that agree on an identifier (another one, if it is one
+    itself), if ``anchors`` or more of these are matches: namesakes outnumber matches in large
+    tables, and without that hold the class of matches turns into that of equal names.  Without
+    patterns the model has a prior of one half and no weights.
     """
     names = list(LEVELS)
     n = patterns["n"].to_numpy(float)
     if not len(n):
-        return Model(0.5, {k: (0.0,) * LEVELS[k] for k in names})
-    hot = {k: np.eye(LEVELS[k])[patterns[k].to_numpy(int)] for k in names}
-    m, u = {}, {}
-    for k in names:
-        size = LEVELS[k]
-        start = np.array([0.0, *(0.85 * 0.3**i for i in range(size - 1))])
-        m[k] = start / start.sum()
-        # Most candidates may be matches, so non-matches start as the mirror image.
-        u[k] = np.concatenate([[0.0], (start / start.sum())[:0:-1]])
-        if k in known:
-            u[k] = np.array(known[k])
-    prior = 0.5
+        none = {k: (0.0,) * LEVELS[k] for k in names}
+        return Model(0.5, (1 / len(OTHERS),) * len(OTHERS), (none,) * len(OTHERS), none)
+    at = {k: patterns[k].to_numpy(int) for k in names}
+    hot = np.hstack([np.eye(LEVELS[k])[at[k]] for k in names])
+    cut_at = np.cumsum([LEVELS[k] for k in names])[:-1]
+    agreed = np.any([at[k] == 1 for k in known], axis=0)
+    anchor = {k: np.any([at[x] == 1 for x in known if x != k], axis=0) for k in names}
+
+    def shown(weight: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for k, c in zip(names, np.split(weight @ hot, cut_at), strict=True):
+            out[k] = np.concatenate([[0.0], (c[1:] + 0.5) / (c[1:] + 0.5).sum()])
+        return out
+
+    def matches(weight: np.ndarray) -> dict[str, np.ndarray]:
+        sets = {a.tobytes(): shown(weight * a) for a in anchor.values() if (weight * a).sum() >= anchors}
+        every = shown(weight)
+        return {k: sets.get(anchor[k].tobytes(), every)[k] for k in names}
+
+    def start(k: str) -> np.ndarray:
+        share = np.array([0.85 * 0.3**i for i in range(LEVELS[k] - 1)])
+        return np.concatenate([[0.0], share / share.sum()])
+
+    m = {k: x if (n * anchor[k]).sum() >= anchors else start(k) for k, x in matches(n).items()}
+    # Non-matches start as the mirror image of matches, but for what their kind shares.
+    given = [{k for k in known if k not in kind} for kind in OTHERS]
+    u = [{k: np.array(known[k]) if k in given[i] else start(k) if k in kind else np.concatenate([[0.0], start(k)[:0:-1]]) for k in names} for i, kind in enumerate(OTHERS)]
+    mix = np.array([0.5, *(0.5 / len(OTHERS),) * len(OTHERS)])
     for _ in range(rounds):
-        odds = np.full(len(n), np.log(prior / (1 - prior)))
-        for k in names:
-            w = np.zeros(LEVELS[k])
-            w[1:] = np.log(m[k][1:]) - np.log(u[k][1:])
-            odds += hot[k] @ w
-        g = 1 / (1 + np.exp(-odds))
-        new = float(np.clip((g * n).sum() / n.sum(), 1e-6, 1 - 1e-6))
-        for k in names:
-            for share, weight in ((m, g * n), *([(u, (1 - g) * n)] if k not in known else [])):
-                c = (hot[k] * weight[:, None]).sum(0)[1:] + 0.01
-                share[k] = np.concatenate([[0.0], c / c.sum()])
-        if abs(new - prior) < tolerance:
-            prior = new
+        logs = np.stack([np.concatenate([[0.0, *np.log(share[k][1:])] for k in names]) for share in (m, *u)], axis=1)
+        g = hot @ logs + np.log(mix)
+        g[~agreed, -1] = -np.inf
+        g = np.exp(g - g.max(1, keepdims=True))
+        g = g / g.sum(1, keepdims=True) * n[:, None]
+        new = np.clip(g.sum(0) / n.sum(), 1e-9, 1)
+        new /= new.sum()
+        m = matches(g[:, 0])
+        u = [{k: old[k] if k in given[i] else x for k, x in shown(g[:, i + 1]).items()} for i, old in enumerate(u)]
+        done = np.abs(new - mix).max() < tolerance
+        mix = new
+        if done:
             break
-        prior = new
-    weights = {}
-    for k in names:
-        w = np.log(m[k][1:]) - np.log(u[k][1:])
+    prior = float(np.clip(mix[0], 1e-9, 1 - 1e-9))
+    others = mix[1:] / mix[1:].sum()
+
+    def weights(other: Mapping[str, np.ndarray]) -> dict[str, tuple[float, ...]]:
         # A worse level never speaks more for a match than a better one.
-        weights[k] = (0.0, *np.minimum.accumulate(w))
-    return Model(prior, weights)
+        return {k: (0.0, *np.minimum.accumulate(np.log(m[k][1:]) - np.log(other[k][1:]))) for k in names}
+
+    return Model(prior, tuple(map(float, others)), tuple(map(weights, u)), weights({k: sum(s * x[k] for s, x in zip(others, u, strict=True)) for k in names}))
 
 
 def candidates(a: DataFrame, b: DataFrame, block: int = 1_000) -> DataFrame:
@@ -247,16 +306,17 @@ def link(voters: DataFrame, roll: DataFrame, threshold: float = 0.6) -> DataFram
     """
     ensure_on_workers(voters.sparkSession)
     # Rows equal in all that is compared are compared once: voters stand for their smallest id,
-    # roll readings for their profile.
+    # roll rows for their profile.
     a = cut(read_voters(voters).groupBy(*_NAMES).agg(F.min("id").alias("id")))
-    rows = cut(read_roll(roll).withColumn("profile", F.unhex(F.md5(F.concat_ws("\u0001", F.col("reading").cast("string"), *_NAMES)))))
-    b = cut(rows.groupBy("profile", *_NAMES).agg(F.count(F.lit(1)).alias("n")).drop("n"))
-    pairs = candidates(a, b).join(a.select(F.col("id").alias("a_id"), F.struct(*_NAMES).alias("a")), "a_id")
-    pairs = pairs.join(b.select("profile", F.struct(*_NAMES).alias("b")), "profile")
-    levels = cut(pairs.select("a_id", "profile", *[c.alias(k) for k, c in comparisons().items()]))
+    whole = F.concat_ws("\u0001", *_NAMES, F.coalesce(F.to_json("other"), F.lit("")))
+    rows = cut(read_rows(roll).withColumn("profile", F.unhex(F.md5(whole))))
+    b = cut(rows.groupBy("profile", *_NAMES, "other").agg(F.count(F.lit(1)).alias("n")).drop("n"))
+    pairs = candidates(a, readings(b)).join(a.select(F.col("id").alias("a_id"), F.struct(*_NAMES).alias("a")), "a_id")
+    pairs = pairs.join(b.select("profile", F.struct(*_NAMES, "other").alias("b")), "profile")
+    levels = cut(pairs.select("a_id", "profile", *best_levels()))
     counted = levels.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n")).toPandas()  # bounded by the product of the levels
     model = fit(counted, chance(a, b))
     scored = levels.select("a_id", "profile", model.posterior().alias("confidence")).where(F.col("confidence") >= threshold)
     best = scored.groupBy("profile").agg(F.max(F.struct("confidence", (-F.col("a_id")).alias("minus"))).alias("m"))
-    each = rows.select("id", "profile").join(best, "profile").groupBy("id").agg(F.max("m").alias("m"))
+    each = rows.select("id", "profile").join(best, "profile")
     return each.select((-F.col("m.minus")).alias("voter_id"), F.col("id").alias("roll_id"), F.col("m.confidence").alias("confidence"))

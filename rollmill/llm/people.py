@@ -33,7 +33,8 @@ def split_name(full: str | None) -> list[tuple[str, str, str]]:
         last, _, rest = full.partition(",")
         given = plain(rest).split()
         return [(given[0] if given else "", " ".join(given[1:]), plain(last).replace(" ", ""))]
-    words, out = plain(full).split(), []
+    # A double name is one word, as it is where a comma sets it apart.
+    words, out = [w for w in (plain(x).replace(" ", "") for x in full.split()) if w], []
     joined: list[str] = []
     hold = ""
     for w in words:

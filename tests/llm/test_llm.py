@@ -3,6 +3,7 @@ import os
 import random
 import string
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from held_out import held_out  # noqa: E402
 
 from rollmill.llm.graph import components  # noqa: E402
-from rollmill.llm.linkage import IDENTIFIERS, LEVELS, candidates, chance, fit, link, read_roll, read_voters  # noqa: E402
+from rollmill.llm.linkage import IDENTIFIERS, LEVELS, best_levels, candidates, chance, fit, link, read_roll, read_rows, read_voters  # noqa: E402
 from rollmill.llm.packing import _packed, nnls, pack, pack_histogram, slots  # noqa: E402
 from rollmill.llm.people import county_digits, read_date, split_name  # noqa: E402
 from rollmill.llm.pii import find_pii, mentions, redact, tags, train  # noqa: E402
@@ -402,6 +403,33 @@ def test_em_recovers_weights():
     assert abs(model.prior - 0.4) < 0.05 and all(w[1] > 0 > w[-1] for w in model.weights.values())
 
 
+def test_namesakes_do_not_take_the_place_of_matches():
+    import pandas as pd
+
+    # 3,000 matches among 120,000 others, as a large table has them: namesakes, people of one year
+    # with like names, of one birth date, of one house.  Few records have an identifier.
+    rng = random.Random(3)
+    same = {"last": (0, 90, 6, 4), "first": (0, 80, 8, 6, 6), "middle": (50, 48, 2), "born": (10, 80, 8, 2), "county": (60, 36, 2, 2), "state": (88, 11, 1), "address": (5, 70, 7, 3, 15), "gender": (10, 90)}
+    apart = {"last": (0, 90, 3, 7), "first": (0, 40, 5, 10, 45), "middle": (50, 10, 40), "born": (10, 0, 1, 4, 85), "county": (60, 0, 0, 40), "state": (88, 0, 0, 12), "address": (5, 0, 0, 5, 90), "gender": (10, 70, 20)}
+    like = apart | {"last": (0, 50, 10, 40), "first": (0, 90, 10), "born": (0, 0, 5, 95)}
+    day = apart | {"last": (0, 15, 5, 40, 40), "first": (0, 1, 1, 1, 5, 92), "born": (0, 100), "gender": (10, 45, 45)}
+    house = apart | {"last": (0, 100), "first": (0, 1, 1, 1, 5, 92), "address": (0, 60, 20, 20), "gender": (10, 45, 45)}
+    known = {"county": (0.0, 1e-6, 1e-4, 0.999899), "state": (0.0, 1e-6, 1e-4, 0.999899)}
+    draw = lambda odds, n: zip(*(rng.choices(range(len(odds[k])), odds[k], k=n) for k in LEVELS), strict=True)
+    seen = Counter([*draw(same, 3000), *draw(apart, 60_000), *draw(like, 25_000), *draw(day, 25_000), *draw(house, 10_000)])
+    model = fit(pd.DataFrame([(*k, n) for k, n in seen.items()], columns=[*LEVELS, "n"]), known)
+    assert abs(model.prior * sum(seen.values()) - 3000) < 300
+    assert model.weights["born"][1] > 0.5 and model.weights["born"][4] < -2 and model.weights["first"][5] < -2
+
+
+def test_names_count_by_the_reading_that_agrees(spark):
+    assert ("hugo", "r", "quistmarlow") in split_name("QUIST-MARLOW HUGO R")
+    voters = spark.createDataFrame([_v(1, "K1-10000001", None, "Hugo", "R", "Quist-Marlow", "1950-01-02", a="1 Elm Rd")], VOTER)
+    roll = spark.createDataFrame([(1, "QUIST-MARLOW HUGO R", "1950-01-02", None, None, "C1", "1 Elm Rd", "F")], ROLL)
+    pair = read_voters(voters).select(F.struct("*").alias("a")).crossJoin(read_rows(roll).select(F.struct("*").alias("b")))
+    assert pair.select(*best_levels()).select("last", "first", "middle").first() == (1, 1, 1)
+
+
 def _hits(model, sample):
     hit = wrong = missed = 0
     for (_, spans), got in zip(sample, mentions(model, [t for t, _ in sample]), strict=True):
