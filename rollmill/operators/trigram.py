@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import template, tick
+from .nearest import nearest_texts
 
 
 def trigrams(text: Column) -> Column:
@@ -80,7 +81,8 @@ def nearest_by_trigram(source: DataFrame, target: DataFrame, source_id: str, tar
     """For each source row the most similar target row, if over half of all trigrams are shared.
 
     Returns ``source_id`` as ``sid`` and ``target_id`` as ``tid``; ties go to the smallest
-    target id.  Texts are compared once, whatever the number of their rows.  ``constraints`` are
+    target id.  Texts are compared once, whatever the number of their rows; without constraints
+    by ``nearest_texts``, which keeps no list of pairs.  ``constraints`` are
     (column, condition) with ``$S`` and ``$T`` for the column on either side; rows that agree in
     the text and in all that the conditions read stand for one another.
     """
@@ -91,6 +93,8 @@ def nearest_by_trigram(source: DataFrame, target: DataFrame, source_id: str, tar
         return df.select(F.col(tick(key)).alias(name), text.alias("text"), F.struct(F.lit(1).alias("one"), *[F.col(tick(c)) for c in names]).alias("c")).where("text IS NOT NULL").withColumn("k", text_key(F.col("text")))
 
     s, t = side(source, source_id, "sid"), side(target, target_id, "tid")
+    if not names:
+        return s.join(nearest_texts(s.select("text"), t.select("text", "tid")).withColumnRenamed("st", "k"), "k").select("sid", "tid")
     texts = lambda df: df.groupBy("k").agg(F.any_value("text").alias("text"))
     pairs = similar_texts(texts(s), texts(t), hot)
     reduced = t.groupBy(F.col("k").alias("tt"), F.col("c").alias("t")).agg(F.min("tid").alias("tid"))

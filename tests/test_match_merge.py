@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rollmill.operators import nearest
 from rollmill.operators.dedup import DuplicateCycleError, check_links, collapse, dedup_links
 from rollmill.operators.match import match, number_rows
 from rollmill.operators.merge import merge
@@ -156,3 +159,48 @@ def test_constrained_texts_repeat(spark, rows):
     t = spark.createDataFrame([(10, "red lamp", "x"), (11, "red lamp", "x"), (12, "red lamps", "y"), (13, "green", "x")], "id long, t string, c string")
     assert rows(nearest_by_trigram(s, t, "id", "id", "t", [("c", "$T = $S")])) == [(1, 10), (2, 12), (5, 10)]
     assert nearest_by_trigram(s.limit(0), t, "id", "id", "t").count() == 0 and nearest_by_trigram(s, t.limit(0), "id", "id", "t").count() == 0
+
+
+@pytest.mark.parametrize("texts, chars, columns, width, lookups", [(50_000, 24_000_000, 4_096, 4_096, 2_000_000), (13, 900, 7, 8, 40)])
+def test_nearest_text_against_all_pairs(texts, chars, columns, width, lookups, monkeypatch):
+    rng = random.Random(5)
+    words = "red green lamp lamps table tables chairs 12 7 é 日本語 日本 \U0001f600x 𝒳y a".split()
+    draw = lambda n: list(dict.fromkeys([" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 4, 30)))) for _ in range(n)] + ["", "x y", "y x"]))
+    source, target = draw(150), draw(170)
+    for name, value in (("TEXTS", texts), ("CHARS", chars), ("CHUNK", min(chars, 500)), ("COLUMNS", columns), ("ROWS", 16), ("LOOKUPS", lookups)):
+        monkeypatch.setattr(nearest, name, value)
+    grams = lambda text: {f"  {w} "[i : i + 3] for w in text.split() for i in range(len(w) + 1)}
+    a, b = [grams(x) for x in source], [grams(x) for x in target]
+    rank = np.array(rng.sample(range(len(b)), len(b)))
+    expected = {}
+    for i, x in enumerate(a):
+        near = [(-len(x & y) / len(x | y), rank[j]) for j, y in enumerate(b) if x | y and 2 * len(x & y) > len(x | y)]
+        if near:
+            expected[i] = min(near)
+    (sorder, s), (torder, t) = (nearest.joined([nearest.sets_of(side[:9]), nearest.sets_of(side[9:])]) for side in (source, target))
+    best, hit = nearest.compare(s, t, rank[torder], width)
+    assert {int(sorder[i]): (-best[i], rank[torder[j]]) for i, j in enumerate(hit) if j >= 0} == expected and len(expected) > 50
+    packed = list(nearest._pack([pa.RecordBatch.from_arrays([pa.array(target), pa.array(range(len(target)))], names=["text", "key"])]))
+    assert sum(len(p["keys"][0]) for p in packed) == len(torder) and (len(packed) > 1) == (texts < len(target))
+
+
+def test_pairs_of_like_texts_do_not_leave_their_task(spark, rows):
+    """Shuffled rows grow with the texts, not with the pairs that share over half of all trigrams."""
+    phrase = F.lit("the seal is exactly as pictured and the motor feels neat too number ")
+    s = spark.range(300).select("id", F.concat(phrase, "id").alias("t"))
+    t = spark.range(1000, 1300).select("id", F.concat(phrase, F.col("id") - 1000, F.lit(" x")).alias("t"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    default = lambda i: getattr(store, f"stageList$default${i}")()
+
+    def written() -> int:
+        stages = store.stageList(None, False, False, default(4), default(5))
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        assert rows(nearest_by_trigram(s, t, "id", "id", "t")) == [(i, 1000 + i) for i in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert written() - before < 10_000
