@@ -184,23 +184,38 @@ def test_nearest_text_against_all_pairs(texts, chars, columns, width, lookups, m
     assert sum(len(p["keys"][0]) for p in packed) == len(torder) and (len(packed) > 1) == (texts < len(target))
 
 
+def shuffled(spark) -> int:
+    """Rows that all stages so far wrote to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, *[getattr(store, f"stageList$default${i}")() for i in (4, 5)])
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_pairs_of_like_texts_do_not_leave_their_task(spark, rows):
     """Shuffled rows grow with the texts, not with the pairs that share over half of all trigrams."""
     phrase = F.lit("the seal is exactly as pictured and the motor feels neat too number ")
     s = spark.range(300).select("id", F.concat(phrase, "id").alias("t"))
     t = spark.range(1000, 1300).select("id", F.concat(phrase, F.col("id") - 1000, F.lit(" x")).alias("t"))
-    store = spark.sparkContext._jsc.sc().statusStore()
-    default = lambda i: getattr(store, f"stageList$default${i}")()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        assert rows(nearest_by_trigram(s, t, "id", "id", "t")) == [(i, 1000 + i) for i in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 10_000
 
-    def written() -> int:
-        stages = store.stageList(None, False, False, default(4), default(5))
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
+def test_like_titles_of_many_rows_in_several_blocks(spark, rows, monkeypatch):
+    """Rows of one title are asked once, and blocks of the target agree on the smallest id."""
+    monkeypatch.setattr(nearest, "FEW", 20)
+    title = lambda n: F.concat(F.lit("Great Osterby night light T"), 100 + n % 200)
+    s = spark.range(1000).select("id", title(F.col("id")).alias("t"))
+    t = spark.range(1000).select(F.concat(F.lit("v"), 5000 - F.col("id")).alias("id"), F.concat(title(F.col("id")), F.lit("!")).alias("t"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        before = written()
-        assert rows(nearest_by_trigram(s, t, "id", "id", "t")) == [(i, 1000 + i) for i in range(300)]
+        before = shuffled(spark)
+        assert rows(nearest_by_trigram(s, t, "id", "id", "t")) == [(i, f"v{5000 - 800 - i % 200}") for i in range(1000)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    assert written() - before < 10_000
+    assert shuffled(spark) - before < 15_000
