@@ -6,7 +6,8 @@ no pair leaves the task that meets it, only each source text's nearest in a bloc
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,11 @@ from pyspark.sql import types as T
 from ..session import cut, ensure_on_workers
 
 #: Most texts and characters of a block, and fewest texts for which blocks are cut to busy all cores.
-TEXTS, CHARS, FEW = 50_000, 24_000_000, 1_000
+TEXTS, CHARS, FEW = 25_000, 12_000_000, 1_000
 #: Characters read into trigrams at a time; rows and columns of a product; trigrams looked up at a time.
-CHUNK, ROWS, COLUMNS, LOOKUPS = 1_000_000, 1_024, 4_096, 2_000_000
+CHUNK, ROWS, COLUMNS, LOOKUPS = 1_000_000, 512, 4_096, 2_000_000
+#: Columns of the first bound, and groups of like texts that it is asked for together.
+COARSE, GROUPS = 1_024, 16
 
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -70,12 +73,37 @@ class _Side:
     def rows(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1])), self.ids[self.at[lo] : self.at[hi]]
 
-    def matrix(self, lo: int, hi: int, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def all(self, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``matrix`` of all sets, made piece by piece."""
+        m, lost = np.empty((len(self.n), width + 3), np.float32), np.empty(len(self.n), np.float32)
+        for lo in range(0, len(m), COLUMNS):
+            m[lo : lo + COLUMNS], lost[lo : lo + COLUMNS] = self.matrix(np.arange(lo, min(lo + COLUMNS, len(m))), column, width)
+        return m, lost
+
+    def permuted(self, order: np.ndarray) -> _Side:
+        other = copy(self)
+        sizes = np.diff(self.at)[order]
+        other.n, other.ids, other.at = self.n[order], self.ids[places(self.at[order], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        return other
+
+    def matrix(self, sets: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Membership per column with three columns to spare, and how many trigrams share a column with others of their set."""
-        m = np.zeros((hi - lo, width + 3), np.float32)
-        row, ids = self.rows(lo, hi)
-        m[row, column[ids]] = 1
-        return m, np.diff(self.at[lo : hi + 1]) - m[:, :width].sum(1)
+        m = np.zeros((len(sets), width + 3), np.float32)
+        sizes = self.at[sets + 1] - self.at[sets]
+        m[np.repeat(np.arange(len(sets)), sizes), column[self.ids[places(self.at[sets], sizes)]]] = 1
+        return m, sizes - m[:, :width].sum(1)
+
+
+def like(side: _Side, column: np.ndarray, width: int) -> np.ndarray:
+    """An order of sets by size class, then group of like sets; it decides on work only, not on results."""
+    m = side.all(column, width)[0][:, :width]
+    m /= np.maximum(1, np.linalg.norm(m, axis=1))[:, None]
+    middles = m[np.unique(np.linspace(0, len(m) - 1, GROUPS).astype(int))]
+    for _ in range(5):
+        group = (m @ middles.T).argmax(1)
+        middles = np.stack([m[group == g].mean(0) if (group == g).any() else c for g, c in enumerate(middles)])
+        middles /= np.maximum(1e-9, np.linalg.norm(middles, axis=1))[:, None]
+    return np.lexsort((side.n, group, np.log2(side.n).astype(int)))
 
 
 def compare(source: Sets, target: Sets, rank: np.ndarray, width: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +111,37 @@ def compare(source: Sets, target: Sets, rank: np.ndarray, width: int = 4_096) ->
     trigrams, by smallest ``rank`` among equals; place -1 where there is none.  Sizes are sorted.
 
     Products of 0/1 matrices bound the common trigrams: the frequent ones have a column each, the
-    rest share columns by hash, and what a set loses there is added.  Pairs whose bound reaches the
-    best so far are counted exactly.  ``width``, the most columns, changes the work only.
+    rest share columns by hash, and what a set loses there is added.  A bound of few columns leaves
+    out targets too far from a whole group of like sources, one of up to ``width`` columns most
+    other pairs; what reaches the best so far is counted exactly.  ``width`` changes the work only.
     """
     shared = np.intersect1d(source[2], target[2], assume_unique=True)
     s, t = _Side(source, shared), _Side(target, shared)
-    best, hit = np.zeros(len(s.n)), np.full(len(s.n), -1)
     if not len(shared):
-        return best, hit
+        return np.zeros(len(s.n)), np.full(len(s.n), -1)
     frequency = np.bincount(s.ids, minlength=len(shared)) + np.bincount(t.ids, minlength=len(shared))
     place = np.empty(len(shared), np.int64)
     place[np.argsort(-frequency, kind="stable")] = np.arange(len(shared))
-    height = max(16, min(ROWS, 64_000_000 // len(shared)))
+
+    def columns(d: int) -> np.ndarray:
+        own = d if len(shared) <= d else d // 2
+        return np.where(place < own, place, own + (place - own) % max(1, d - own))
+
+    few = min(len(shared), width, COARSE)
+    order = like(s, columns(few), few)
+    best, hit = _nearest_in_order(s.permuted(order), t, rank, len(shared), columns, few, width)
+    back = np.argsort(order)
+    return best[back], hit[back]
+
+
+def _nearest_in_order(s: _Side, t: _Side, rank: np.ndarray, shared: int, columns: Callable[[int], np.ndarray], few: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The comparison, with the source in an order that puts like sets side by side."""
+    best, hit = np.zeros(len(s.n)), np.full(len(s.n), -1)
+    height = max(16, min(ROWS, 64_000_000 // shared))
+    coarse = columns(few)
+    bounds, missed = t.all(coarse, few)
+    bounds[:, few], bounds[:, few + 1], bounds[:, few + 2] = t.n, 1, missed / 2
+    lengths = np.diff(t.at)
 
     def count(lo: int, row: np.ndarray, col: np.ndarray, member: np.ndarray) -> None:
         """Exact similarities of pairs; the best are kept."""
@@ -114,44 +161,50 @@ def compare(source: Sets, target: Sets, rank: np.ndarray, width: int = 4_096) ->
     for lo in range(0, len(s.n), height):
         hi = min(lo + height, len(s.n))
         n = s.n[lo:hi].astype(np.float64)
-        middle = n[len(n) // 2]
-        d = min(len(shared), width, 1_024 if middle < 48 else 2_048 if middle < 128 else 4_096)
-        own = d if len(shared) <= d else d // 2
-        column = np.where(place < own, place, own + (place - own) % max(1, d - own))
-        a, lost = s.matrix(lo, hi, column, d)
-        member = np.zeros((hi - lo, len(shared)), np.uint8)
+        middle = np.median(n)
+        d = min(shared, width, 1_024 if middle < 48 else 2_048 if middle < 128 else 4_096)
+        column = columns(d)
+        sides = [(x, d, lost) for d, (x, lost) in ((w, s.matrix(np.arange(lo, hi), c, w)) for w, c in ((few, coarse), (d, column)))]
+        member = np.zeros((hi - lo, shared), np.uint8)
         member[s.rows(lo, hi)] = 1
+
+        def room(a: np.ndarray, d: int, lost: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """The bound on common trigrams less what is needed, with room for rounding."""
+            a[:, d], a[:, d + 1], a[:, d + 2] = -share, lost / 2 - share * n + 0.05 + 1e-5 * n, 1
+            return a @ b.T
+
         # Only sizes between half and double of a set's own can share enough; nearest sizes first.
-        low, high = np.searchsorted(t.n, n[0] / 2, side="right"), np.searchsorted(t.n, n[-1] * 2)
+        low, high = np.searchsorted(t.n, n.min() / 2, side="right"), np.searchsorted(t.n, n.max() * 2)
         cuts = [(b, min(b + COLUMNS, high)) for b in range(low, high, COLUMNS)]
         about = np.searchsorted(t.n, middle)
+        need = lambda: (lambda x: x / (1 + x))(np.maximum(best[lo:hi], 0.5))  # noqa: E731  share of both sizes that must be common
         for b0, b1 in sorted(cuts, key=lambda c: abs((c[0] + c[1]) / 2 - about)):
-            b, missed = t.matrix(b0, b1, column, d)
-            m = t.n[b0:b1]
-            need = lambda: (lambda x: x / (1 + x))(np.maximum(best[lo:hi], 0.5))  # noqa: E731  share of both sizes that must be common
             share = need()
-            # The last columns make each product the bound less what is needed, with room for rounding.
-            a[:, d], a[:, d + 1], a[:, d + 2] = -share, lost / 2 - share * n + 0.05 + 1e-5 * n, 1
+            near = b0 + np.flatnonzero(room(*sides[0], bounds[b0:b1]).max(0) > 0)
+            if not len(near):
+                continue
+            m = t.n[near]
+            b, missed = t.matrix(near, column, d)
             b[:, d], b[:, d + 1], b[:, d + 2] = m, 1, missed / 2
-            room = a @ b.T
-            top = room.argmax(1)
-            row = np.flatnonzero(room[np.arange(hi - lo), top] > 0)
+            left = room(*sides[1], b)
+            top = left.argmax(1)
+            row = np.flatnonzero(left[np.arange(hi - lo), top] > 0)
             if not len(row):
                 continue
-            for part in np.array_split(row, -(-int(np.diff(t.at)[b0 + top[row]].sum()) // LOOKUPS) or 1):
-                count(lo, part, b0 + top[part], member)
-            row, col = np.divmod(np.flatnonzero(room.ravel() > 0), b1 - b0)
-            spare = room[row, col]
-            order = np.argsort(-spare, kind="stable")[: len(row)]
+            for part in np.array_split(row, -(-int(lengths[near[top[row]]].sum()) // LOOKUPS) or 1):
+                count(lo, part, near[top[part]], member)
+            row, col = np.divmod(np.flatnonzero(left.ravel() > 0), len(near))
+            spare = left[row, col]
+            order = np.argsort(-spare, kind="stable")
             row, col, spare = row[order], col[order], spare[order]
             rest = col != top[row]
             row, col, spare = row[rest], col[rest], spare[rest]
             while len(row):
                 still = spare > (need() - share)[row] * (n[row] + m[col])
                 row, col, spare = row[still], col[still], spare[still]
-                step = max(1, int(np.searchsorted(np.cumsum(np.diff(t.at)[b0 + col]), LOOKUPS)))
+                step = max(1, int(np.searchsorted(np.cumsum(lengths[near[col]]), LOOKUPS)))
                 if len(row):
-                    count(lo, row[:step], b0 + col[:step], member)
+                    count(lo, row[:step], near[col[:step]], member)
                 row, col, spare = row[step:], col[step:], spare[step:]
     return best, hit
 
